@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from weft.llm.core import keyed, remembered
 
 #: Chunks, words and fifths of pairs that a worker remembers, those of up to LONG characters; then it starts afresh.
-MEMO = 250_000
+MEMO = 400_000
 LONG = 100
 NONE = 1 << 60
 
@@ -47,6 +47,7 @@ class Codec:
         self.length = {i: len(b) for b, i in ranks.items()}
         self.name_of = {i: str(i) for i in self.bytes_of}
         self.pieces = regex.compile(pattern)
+        self.latin = latin_pattern(pattern)
         self.unclean = re.compile(r" (?:\s|$)")
         self.find = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -96,7 +97,17 @@ class Codec:
         if whole is not None and self.fits(-1, whole):
             return [whole]
         text, pairs, fits, length = raw.decode("latin-1"), self.pairs.get, self.fits, self.length
-        at, n, ids, before, dead, token = 0, len(raw), [], -1, set(), None
+        ids, before, at = [], -1, 0
+        for _, token in self.find.iter_long(text):
+            known = pairs((before, token))
+            if not (fits(before, token) if known is None else known):
+                break
+            ids.append(token)
+            at += length[token]
+            before = token
+        else:
+            return ids
+        n, dead = len(raw), set()
         while at < n:
             if token is None:
                 token = next(self.find.iter_long(text, at))[1]
@@ -117,6 +128,12 @@ class Codec:
             before = ids[-1] if ids else -1
         return ids
 
+    def cut(self, text: str) -> list[str]:
+        """All matches of the pattern."""
+        if self.latin and (text.isascii() or max(text) < "\u0100"):
+            return self.latin.findall(text)
+        return self.pieces.findall(text, concurrent=False)
+
     def word(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
         known = self.words.get(text)
@@ -132,7 +149,7 @@ class Codec:
         """Ids of a stretch of text that no match crosses."""
         known = self.chunks.get(text)
         if known is None:
-            known = tuple(chain.from_iterable(map(self.word, self.pieces.findall(text, concurrent=False))))
+            known = tuple(chain.from_iterable(map(self.word, self.cut(text))))
             if len(text) <= LONG:
                 if len(self.chunks) > MEMO:
                     self.chunks.clear()
@@ -143,7 +160,7 @@ class Codec:
         if not text:
             return []
         if self.unclean.search(text):
-            return list(chain.from_iterable(map(self.word, self.pieces.findall(text, concurrent=False))))
+            return list(chain.from_iterable(map(self.word, self.cut(text))))
         parts = text.split(" ")
         ids = list(self.chunk(parts[0]))
         extend, chunks, chunk = ids.extend, self.chunks.get, self.chunk
@@ -156,6 +173,29 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def latin_pattern(pattern: str):
+    """The pattern for texts below U+0100, for the faster standard module; None if it uses other classes than \\p{L} \\p{N} \\s \\S."""
+    import re
+
+    import regex
+
+    rest = pattern
+    for name in (r"\p{L}", r"\p{N}", r"\s", r"\S"):
+        rest = rest.replace(name, "")
+    if "\\" in rest:
+        return None
+    classes = {name: "".join(f"\\x{c:02x}" for c in range(256) if regex.match(name, chr(c))) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        name = next((x for x in (r"\p{L}", r"\p{N}", r"\s", r"\S") if pattern.startswith(x, at)), pattern[at])
+        if name == r"\S" and inside:
+            return None
+        inside = {"[": True, "]": False}.get(name, inside)
+        out += name if len(name) == 1 else f"[^{classes[chr(92) + 's']}]" if name == r"\S" else classes[name] if inside else f"[{classes[name]}]"
+        at += len(name)
+    return re.compile(out)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
