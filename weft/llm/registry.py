@@ -9,6 +9,7 @@ MODULES = {
     "op1_minhash": "minhash",
     "op6_byte_bpe": "bpe",
     "op7_substring": "substring",
+    "op9_suffix_array": "suffix",
 }
 
 

@@ -61,16 +61,6 @@ def candidates(words: Words, row: np.ndarray, position: np.ndarray, window: int)
     return np.flatnonzero(np.cumsum(mark)[:-1] > 0)
 
 
-def rows_of(table: pa.Table, doc: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """The answered documents of a chunk: their ids, texts, and for each answer the row among them."""
-    ids = longs(table.column("doc_id").combine_chunks()) if table.num_rows else np.zeros(0, np.int64)
-    order = np.argsort(ids)
-    wanted, inverse = np.unique(doc, return_inverse=True)
-    found = order[np.searchsorted(ids[order], wanted)] if len(wanted) else np.zeros(0, np.int64)
-    texts = table.column("text").combine_chunks().take(pa.array(found)) if len(found) else pa.array([], pa.string())
-    return wanted, texts, inverse
-
-
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed (long) and kept (string: the kept words, joined by one space)."""
     docs = keyed(docs, "text")
@@ -89,7 +79,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def second(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc, position = rv.answered(found)
-        wanted, texts, inverse = rows_of(texts, doc)
+        wanted, texts, inverse = rv.rows_of(texts, doc)
         data, offsets = buffer(texts)
         got = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for a, b in slices(offsets):
