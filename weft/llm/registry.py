@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name -> module that has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op1_minhash": "minhash",
+    "op2_quality": "quality",
+    "op4_contamination": "contamination",
     "op6_byte_bpe": "bpe",
     "op7_substring": "substring",
     "op9_suffix_array": "suffix",
