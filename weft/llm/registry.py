@@ -8,9 +8,11 @@ from importlib import import_module
 MODULES = {
     "op1_minhash": "minhash",
     "op2_quality": "quality",
+    "op3_rules": "rules",
     "op4_contamination": "contamination",
     "op6_byte_bpe": "bpe",
     "op7_substring": "substring",
+    "op8_licences": "licences",
     "op9_suffix_array": "suffix",
 }
 
