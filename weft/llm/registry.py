@@ -10,10 +10,12 @@ MODULES = {
     "op2_quality": "quality",
     "op3_rules": "rules",
     "op4_contamination": "contamination",
+    "op5_chat": "chat",
     "op6_byte_bpe": "bpe",
     "op7_substring": "substring",
     "op8_licences": "licences",
     "op9_suffix_array": "suffix",
+    "op10_urls": "urls",
 }
 
 
