@@ -173,9 +173,9 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id and score: the probability that labels (doc_id, quality) would mark the document 1."""
-    docs = keyed(docs, "text")
+def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score (the probability that labels (doc_id, quality) would mark the document 1), then carry (columns of docs)."""
+    carried, docs = keyed(docs, "text", *(c for c in carry if c != "text")), keyed(docs, "text")
     vectors = word_vectors(context_sums(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -197,9 +197,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pooled(*buffer(batch.column(1)), vectors)
-            yield pa.record_batch([batch.column(0), pa.array(network.scores(x) if network else np.full(len(x), 0.5), pa.float64())], ["doc_id", "score"])
+            scores = pa.array(network.scores(x) if network else np.full(len(x), 0.5), pa.float64())
+            yield pa.record_batch([batch.column(0), scores, *(batch.column(c) for c in carry)], ["doc_id", "score", *carry])
 
-    return docs.mapInArrow(score, "doc_id long, score double")
+    return carried.mapInArrow(score, "doc_id long, score double" + "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -61,9 +61,13 @@ def candidates(words: Words, row: np.ndarray, position: np.ndarray, window: int)
     return np.flatnonzero(np.cumsum(mark)[:-1] > 0)
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed (long) and kept (string: the kept words, joined by one space)."""
-    docs = keyed(docs, "text")
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed (long) and kept (string: the kept words, joined by one space), then carry.
+
+    layout: a document that loses nothing keeps its text as it is, blanks included. carry: columns
+    of docs (other than those above) that go along.
+    """
+    docs = keyed(docs, "text", *carry)
     parts = rv.parts_for(docs)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +111,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 gone = len(own) - int(own.sum())
                 total.append(len(own))
                 removed.append(gone)
-                kept.append(words.kept(i, own if gone else None))
-        return pa.table([texts.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                kept.append(data[offsets[a + i] : offsets[a + i + 1]].tobytes() if layout and not gone else words.kept(i, own if gone else None))
+        made = [texts.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.table([*made, *(texts.column(c) for c in carry)], ["doc_id", "n_words", "n_removed", "kept", *carry])
 
+    schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     # the same exchange of texts serves both passes
     chunks = docs.withColumn("chunk", rv.chunk_column(parts)).groupBy("chunk")
-    repeated = rv.meet(docs.mapInArrow(first, rv.SCHEMA), parts, exact=False)
+    repeated = rv.meet(docs.select("doc_id", "text").mapInArrow(first, rv.SCHEMA), parts, exact=False)
     windows = chunks.cogroup(repeated.groupBy("chunk")).applyInArrow(second, rv.SCHEMA)
-    return chunks.cogroup(rv.meet(windows, parts, exact=True).groupBy("chunk")).applyInArrow(last, "doc_id long, n_words long, n_removed long, kept string")
+    return chunks.cogroup(rv.meet(windows, parts, exact=True).groupBy("chunk")).applyInArrow(last, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
