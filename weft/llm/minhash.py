@@ -3,9 +3,10 @@
 Each document is its set of distinct 5-word shingles over words with A-Z in lower case. Documents
 of equal sets (128 bits) form a class, and one document stands for it. Representatives meet in
 bands of 5 minimum hashes; there are as many bands as leave a pair at the threshold unmet with
-less than the chosen probability. In each bucket every member is paired with the bucket's smallest
-id: within a slice of input at once, then among the slices' smallest ids, so no bucket is gathered
-and pairs grow as memberships do, not as their squares.
+less than the chosen probability. In each bucket every member is paired with one centre: the member
+that agrees best with the bucket's commonest hashes, so that in a group of variants it is the text
+they derive from. Chunks of documents propose centres and pair their own members with the chosen
+one, so no bucket is gathered, and pairs grow as memberships do, not as their squares.
 
 A pair's signatures are compared 12 hashes at a time. With a uniform prior, similarity s after m of
 n equal hashes has the posterior Beta(m+1, n-m+1); the pair is dropped once P(s >= threshold) is
@@ -40,6 +41,8 @@ ROWS = 5
 STEP = 12
 #: Members of a bucket that are compared with one another at a time when its star did not settle it.
 BLOCK = 256
+#: Members of a bucket, evenly spaced, whose commonest hashes are its consensus; all are compared with it.
+CONSENSUS = 64
 
 
 def bands_for(threshold: float, miss: float) -> int:
@@ -93,13 +96,34 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     return key
 
 
-def star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (key, doc); where a key begins; the first document of each entry's key."""
+def buckets(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (key, doc) and where each key begins in it."""
     order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    return order, new, doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else doc
+    return order, np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]) != 0)
+
+
+def centres(signatures: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most typical member of each bucket, as an index into row, and the hashes it shares with the bucket's consensus.
+
+    row: the members' rows by bucket, in the order of their ids; first: where buckets begin. The
+    consensus takes the commonest value of each hash; fewer than three members have none (score 0).
+    """
+    size = np.diff(np.append(first, len(row)))
+    best, score = first.copy(), np.zeros(len(first), np.uint8)
+    for i in np.flatnonzero(size > 2).tolist():
+        mine = signatures[row[first[i] : first[i] + size[i]]]
+        if len(mine) > CONSENSUS:  # evenly spaced members show what is common
+            voters = mine[:: -(-len(mine) // CONSENSUS)]
+        else:
+            voters = mine
+        ranked = np.sort(voters, axis=0)
+        run = np.zeros(ranked.shape, np.int16)
+        for j in range(1, len(ranked)):
+            run[j] = np.where(ranked[j] == ranked[j - 1], run[j - 1] + 1, 0)
+        common = ranked[run.argmax(axis=0), np.arange(ranked.shape[1])]
+        agree = (mine == common).sum(axis=1)
+        best[i], score[i] = first[i] + int(agree.argmax()), min(255, int(agree.max()))
+    return best, score
 
 
 class NearDuplicates:
@@ -127,47 +151,67 @@ class NearDuplicates:
         return self.docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
     def pairs(self, reps: DataFrame) -> DataFrame:
-        """Candidate pairs a < b: a star in each bucket."""
+        """Candidate pairs: a, the centre of a bucket, with each other member b.
+
+        Representatives stand in chunks; each chunk names its centre of each bucket, the best of
+        those becomes the bucket's centre, and each chunk pairs its own members with that one.
+        """
         parts = self.parts
 
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                doc = longs(batch.column(0))
-                if not len(doc):
-                    continue
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(doc), -1)
-                key = bucket_keys(sig)
-                doc = np.repeat(doc, key.shape[1])
-                order, new, least = star(key.ravel(), doc)
-                key, doc = key.ravel()[order], doc[order]
-                found = np.unique(np.stack([least[~new], doc[~new]], 1), axis=0)
-                found = found[found[:, 0] != found[:, 1]]
-                part = (key[new] % np.uint64(parts)).astype(np.int64)
-                by = np.lexsort((doc[new], part))
-                part, key, doc = part[by], key[new][by], doc[new][by]
-                edge = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-                rows = [(int(part[a]), -1, rv.pack(doc[a:b], key[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                if len(found):
-                    rows += [(int(found[a, 0] % parts), 0, rv.pack(found[a : a + 4096, 0], found[a : a + 4096, 1])) for a in range(0, len(found), 4096)]
-                yield rv.batch(rows)
-
-        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = []
-            for batch in batches:
-                for chunk, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    if chunk < 0:
-                        got.append(rv.unpack(blob, np.uint64))
-                    else:
-                        a, b = rv.unpack(blob, np.int64)
-                        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
-            if got:
-                doc, key = (np.concatenate(x) for x in zip(*got, strict=True))
-                order, new, least = star(key, doc)
-                found = np.unique(np.stack([least[~new], doc[order][~new]], 1), axis=0)
-                found = found[found[:, 0] != found[:, 1]]
-                yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-        return reps.select("doc_id", "sig").mapInArrow(meet, rv.SCHEMA).repartitionById(parts, "key").mapInArrow(join, "a long, b long").distinct()
+        def keys(table: pa.Table) -> tuple[np.ndarray, ...]:
+            doc = longs(table.column("doc_id").combine_chunks())
+            table, doc = table.take(pa.array(np.argsort(doc))), np.sort(doc)
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(doc), -1)
+            key = bucket_keys(sig)
+            row = np.repeat(np.arange(len(doc)), key.shape[1])
+            order, first = buckets(key.ravel(), row)
+            return doc, sig, key.ravel()[order], row[order], first
+
+        def propose(table: pa.Table) -> pa.Table:
+            doc, sig, key, row, first = keys(table)
+            at, score = centres(sig, row, first)
+            many = np.minimum(np.diff(np.append(first, len(row))), 2).astype(np.uint8)
+            key, who = key[first], doc[row[at]]
+            part = (key % np.uint64(parts)).astype(np.int64)
+            by = np.lexsort((who, part))
+            edge = np.flatnonzero(np.diff(part[by], prepend=-1, append=-1))
+            rows = [(int(part[by[a]]), -1, rv.pack(who[by[a:b]], key[by[a:b]], score[by[a:b]], many[by[a:b]])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            return pa.Table.from_batches([rv.batch(rows)])
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [rv.unpack(x.as_py(), np.uint64, np.uint8, np.uint8) for b in batches for x in b.column(2)]
+            if not got:
+                return
+            doc, key, score, many = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.lexsort((doc, -score.astype(np.int64), key))
+            doc, key, many = doc[order], key[order], many[order]
+            first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+            size = np.diff(np.append(first, len(key)))
+            shared = np.repeat(np.add.reduceat(many.astype(np.int64), first) > 1, size)
+            centre, chunk = np.repeat(doc[first], size)[shared], rv.chunk_of(doc[shared], parts)
+            by = np.lexsort((centre, chunk))
+            edge, key = np.flatnonzero(np.diff(chunk[by], prepend=-1, append=-1)), key[shared][by]
+            rows = [(int(chunk[by[a]]), int(chunk[by[a]]), rv.pack(centre[by[a:b]], key[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            if rows:
+                yield rv.batch(rows).select(["chunk", "blob"])
+
+        def pair(table: pa.Table, found: pa.Table) -> pa.Table:
+            got = [rv.unpack(x.as_py(), np.uint64) for x in found.column("blob")]
+            if not got or not table.num_rows:
+                return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+            centre, wanted = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.argsort(wanted)
+            centre, wanted = centre[order], wanted[order]
+            doc, _, key, row, _ = keys(table)
+            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+            hit = wanted[at] == key
+            out = np.unique(np.stack([centre[at[hit]], doc[row[hit]]], 1), axis=0)
+            out = out[out[:, 0] != out[:, 1]]
+            return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+        chunks = reps.select("doc_id", "sig").withColumn("chunk", rv.chunk_column(parts)).groupBy("chunk")
+        chosen = chunks.applyInArrow(propose, rv.SCHEMA).repartitionById(parts, "key").mapInArrow(choose, "chunk int, blob binary")
+        return chunks.cogroup(chosen.groupBy("chunk")).applyInArrow(pair, "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked, buckets): buckets that the two share, where they are not linked."""
@@ -199,7 +243,8 @@ class NearDuplicates:
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(buckets, pa.list_(pa.int64()))], ["a", "b", "linked", "buckets"])
 
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sides = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(side, "id long, sig binary, shingles binary").dropDuplicates(["id"])
+        # a merge join at every size: no side is known to be small
+        sides = self.docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(side, "id long, sig binary, shingles binary").dropDuplicates(["id"])
         sides = cut(sides, "sides")
         of = lambda c: sides.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("shingles").alias(f"shingles_{c}"))
         both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sig_a", "sig_b", "shingles_a", "shingles_b")
@@ -225,7 +270,7 @@ class NearDuplicates:
                     key = bucket_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(doc), -1))
                     yield pa.record_batch([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(doc, key.shape[1]))], ["bucket", "id"])
 
-        inside = cut(reps.select("doc_id", "sig").mapInArrow(members, "bucket long, id long").join(open_keys, "bucket"), "members")
+        inside = cut(reps.select("doc_id", "sig").mapInArrow(members, "bucket long, id long").join(open_keys.hint("merge"), "bucket"), "members")
         sizes = inside.groupBy("bucket").count().where("count > 2").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
         sizes = cut(sizes, "sizes")
         if sizes.isEmpty():
@@ -249,7 +294,7 @@ class NearDuplicates:
             return pa.table([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
 
         found = placed.groupBy("bucket", "low", "high").applyInArrow(across, "a long, b long").distinct()
-        found = cut(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        found = cut(found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
         return None if found.isEmpty() else found
 
     def run(self) -> DataFrame:
