@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from weft.plans import catalog_graph
+from weft.plans import catalog_graph, catalog_vectors
 
-QUERIES = {**catalog_graph.QUERIES}
+QUERIES = {**catalog_graph.QUERIES, **catalog_vectors.QUERIES}
