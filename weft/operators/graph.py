@@ -6,6 +6,9 @@ changes nothing. Direction is always src -> tgt.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,8 +18,40 @@ from weft.lineage import cut
 ROUNDS = 10_000
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges of the same components: each input partition's own components as stars around their smallest ids."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def top(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        schema = None
+        for b in batches:
+            schema = b.schema
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s, t = top(s), top(t)
+                if s != t:
+                    root[max(s, t)] = min(s, t)
+        if schema is not None:
+            names = list(root)
+            for i in range(0, len(names), 50_000):
+                yield pa.record_batch([pa.array([top(x) for x in names[i : i + 50_000]], schema.types[0]), pa.array(names[i : i + 50_000], schema.types[1])], ["src", "tgt"])
+
+    return edges.select("src", "tgt").mapInArrow(run, f"src {kind}, tgt {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that undirected edges reach; path lengths halve each round."""
+    """(id, component): the smallest id that undirected edges reach.
+
+    Partitions contract their own edges to stars first; then labels spread, and path lengths halve
+    each round.
+    """
+    edges = cut(contracted(edges.where("src IS NOT NULL AND tgt IS NOT NULL")), "stars")
     both = cut(edges.select("src", "tgt").union(edges.select("tgt", "src")).distinct(), "both")
     labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least("src", F.min("tgt")).alias("component")), "labels")
     for _ in range(ROUNDS):
