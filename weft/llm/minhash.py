@@ -40,7 +40,7 @@ SHINGLE = 5
 ROWS = 5
 STEP = 12
 #: Members of a bucket that are compared with one another at a time when its star did not settle it.
-BLOCK = 256
+BLOCK = 1024
 #: Members of a bucket, evenly spaced, whose commonest hashes are its consensus; all are compared with it.
 CONSENSUS = 64
 
@@ -213,16 +213,23 @@ class NearDuplicates:
         chosen = chunks.applyInArrow(propose, rv.SCHEMA).repartitionById(parts, "key").mapInArrow(choose, "chunk int, blob binary")
         return chunks.cogroup(chosen.groupBy("chunk")).applyInArrow(pair, "a long, b long").distinct()
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked, buckets): buckets that the two share, where they are not linked."""
+    def sides(self, ids: DataFrame) -> DataFrame:
+        """id, sig and shingles (sorted hashes) of the documents with these ids (doc_id)."""
         factors, addends = permutations(self.bands * ROWS)
-        (over, under), limits = self.threshold, self.limits()
 
         def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [s for _, s in shingle_sets(*buffer(batch.column(1)))]
                 yield pa.record_batch([batch.column(0), pa.array([signature(s, factors, addends).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sig", "shingles"])
 
+        # a merge join at every size: no side is known to be small
+        found = self.docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(side, "id long, sig binary, shingles binary")
+        return cut(found.dropDuplicates(["id"]), "sides")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, linked, buckets): buckets that the two share, where they are not linked."""
+        (over, under), limits = self.threshold, self.limits()
+
         def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 linked, buckets = [], []
@@ -242,10 +249,7 @@ class NearDuplicates:
                     buckets.append(keys)
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(buckets, pa.list_(pa.int64()))], ["a", "b", "linked", "buckets"])
 
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        # a merge join at every size: no side is known to be small
-        sides = self.docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(side, "id long, sig binary, shingles binary").dropDuplicates(["id"])
-        sides = cut(sides, "sides")
+        sides = self.sides(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
         of = lambda c: sides.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("shingles").alias(f"shingles_{c}"))
         both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sig_a", "sig_b", "shingles_a", "shingles_b")
         return cut(both.mapInArrow(decide, "a long, b long, linked boolean, buckets array<long>"), "verdicts")
@@ -255,7 +259,13 @@ class NearDuplicates:
         return [(n, least_equal(n, t, self.miss)) for n in range(STEP, self.bands * ROWS + 1, STEP)]
 
     def rest(self, reps: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame | None:
-        """Pairs that the stars left out: across components, within buckets in which a star pair failed."""
+        """Links (a, b) that the stars left out: across components, within buckets in which a star pair failed.
+
+        Members of such a bucket meet in pairs of blocks. A pair belongs to the first bucket that it
+        shares; those that the signatures do not rule out stay packed, one row for each two blocks,
+        the shingle sets of their documents are brought there, and of what is verified only links
+        that join two components leave.
+        """
         label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
         apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
         failed = tested.where("NOT linked").join(label("a"), "a", "left").join(label("b"), "b", "left").where(apart)
@@ -279,22 +289,65 @@ class NearDuplicates:
         placed = placed.withColumn("component", F.coalesce("component", "id")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         placed = placed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "sig")
-        limits = self.limits()
+        limits, (over, under), keys = self.limits(), self.threshold, ["bucket", "low", "high"]
 
         def across(table: pa.Table) -> pa.Table:
             ids, comp, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
+            place = [table.column(c)[0].as_py() for c in keys]
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-            a, b = np.triu_indices(len(ids), 1)
-            apart = (comp[a] != comp[b]) & ((block[a] != block[b]) | (table.column("low")[0].as_py() == table.column("high")[0].as_py()))
-            a, b, seen = a[apart], b[apart], 0
-            equal = np.zeros(len(a), np.int64)
-            for n, least in limits:
-                equal = equal + (sig[a, seen:n] == sig[b, seen:n]).sum(axis=1)
-                a, b, equal, seen = *(x[equal >= least] for x in (a, b, equal)), n
-            return pa.table([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
-
-        found = placed.groupBy("bucket", "low", "high").applyInArrow(across, "a long, b long").distinct()
-        found = cut(found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+            own = bucket_keys(sig).view(np.int64)
+            got = []
+            for i in range(len(ids) - 1):
+                b = np.arange(i + 1, len(ids))
+                b = b[(comp[b] != comp[i]) & ((block[b] != block[i]) | (place[1] == place[2]))]
+                seen, equal = 0, np.zeros(len(b), np.int64)
+                for n, least in limits:
+                    equal = equal + (sig[b, seen:n] == sig[i, seen:n]).sum(axis=1)
+                    b, equal, seen = b[equal >= least], equal[equal >= least], n
+                if len(b):
+                    first = own[i][(own[b] == own[i]).argmax(axis=1)]
+                    got.append(np.stack([np.full(len(b), i), b], 1)[first == place[0]])
+            pairs = np.concatenate(got) if got else np.zeros((0, 2), np.int64)
+            blob = [rv.pack(ids[pairs[:, 0]], ids[pairs[:, 1]], comp[pairs[:, 0]], comp[pairs[:, 1]])] if len(pairs) else []
+            return pa.table([*(pa.array([x][: len(blob)], t) for x, t in zip(place, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array(blob, pa.binary())], [*keys, "blob"])
+
+        plausible = cut(placed.groupBy(*keys).applyInArrow(across, "bucket long, low int, high int, blob binary"), "plausible")
+        if plausible.isEmpty():
+            return None
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids = np.unique(np.concatenate(rv.unpack(batch.column(3)[i].as_py(), np.int64, np.int64, np.int64)[:2]))
+                    yield pa.record_batch([*(pa.array([batch.column(c)[i].as_py()] * len(ids), batch.schema.types[c]) for c in range(3)), pa.array(ids)], [*keys, "id"])
+
+        wanted = cut(plausible.mapInArrow(named, "bucket long, low int, high int, id long"), "wanted")
+        sides = self.sides(wanted.select(F.col("id").alias("doc_id"))).drop("sig")
+
+        def links(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+            found = []
+            if pairs.num_rows:
+                shingles = {i: np.frombuffer(x, np.uint64) for i, x in zip(sets.column("id").to_pylist(), sets.column("shingles").to_pylist(), strict=True)}
+                root: dict[int, int] = {}
+
+                def top(c: int) -> int:
+                    while (up := root.get(c, c)) != c:
+                        root[c] = c = root.get(up, up)
+                    return c
+
+                for a, b, ca, cb in zip(*(x.tolist() for x in rv.unpack(pairs.column("blob")[0].as_py(), np.int64, np.int64, np.int64)), strict=True):
+                    if (ca := top(ca)) != (cb := top(cb)):
+                        x, y = shingles[a], shingles[b]
+                        if under * min(len(x), len(y)) < over * max(len(x), len(y)):
+                            continue
+                        shared = len(x) + len(y) - len(np.union1d(x, y))
+                        if under * shared >= over * (len(x) + len(y) - shared):
+                            root[ca] = cb
+                            found.append((a, b))
+            return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        brought = wanted.join(sides, "id").groupBy(*keys)
+        found = cut(plausible.groupBy(*keys).cogroup(brought).applyInArrow(links, "a long, b long"), "rest")
         return None if found.isEmpty() else found
 
     def run(self) -> DataFrame:
@@ -308,11 +361,11 @@ class NearDuplicates:
         placed = cut(placed.select("doc_id", "n_shingles", "class_id", "copies", "sig"), "placed")
         reps = placed.where("sig IS NOT NULL")
         tested = self.verified(cut(self.pairs(reps), "pairs"))
-        labels = components(tested.where("linked"))
+        links = tested.where("linked").select("a", "b")
+        labels = components(links)
         more = self.rest(reps, labels, tested)
         if more is not None:
-            tested = tested.unionByName(self.verified(more))
-            labels = components(tested.where("linked"))
+            labels = components(links.unionByName(more))
         labels = labels.withColumnRenamed("id", "class_id")
         heavy = classes.where(F.col("copies") >= many).select("class_id").join(labels, "class_id")
         found = lookup(placed.drop("sig", "copies"), labels, ["class_id"], heavy)
