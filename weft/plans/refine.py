@@ -136,7 +136,7 @@ def inserted(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def lint(triples: DataFrame, schema: DataFrame) -> DataFrame:
     """check, value, status: isolated classes, components, repeated statements, relations without domain and range."""
-    spark, edges = triples.sparkSession, triples.select(F.col("s").alias("src"), F.col("o").alias("tgt"))
+    edges = triples.select(F.col("s").alias("src"), F.col("o").alias("tgt"))
     nodes = edges.select("src").union(edges.select("tgt")).distinct().withColumnRenamed("src", "id")
     ends = nodes.join(edges.select(F.col("src").alias("id")).union(edges.select("tgt")), "id", "left_anti")
     row = lambda check, found, bad: found.select(F.lit(check).alias("check"), F.col("n").cast("double").alias("value"), F.when(F.col("n") > bad[1], bad[0]).otherwise("PASS").alias("status"))
