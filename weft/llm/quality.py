@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.core import buffer, keyed, longs, mixed, prefix_hash, slices, window_hash
+from weft.llm.core import buffer, keyed, mixed, prefix_hash, slices, window_hash
 
 SIZE = 32
 BUCKETS = 4096
@@ -118,7 +118,7 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
         _, kept = np.unique(own, return_index=True)
         kept.sort()
         types = np.bincount(row[kept], minlength=b - a)
-        for column, at, owner, size in ((0, h, row, n), (width, h[kept], row[kept], types)):
+        for column, at, size in ((0, h, n), (width, h[kept], types)):
             some = np.flatnonzero(size)
             if len(some):
                 edge = np.concatenate([[0], np.cumsum(size)])[some]
