@@ -51,7 +51,13 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    """Words of a text in lower case."""
+    return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
+
+
+def bigrams(words: Column) -> Column:
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(pairs)
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -59,13 +65,12 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     known = [(licence, grams) for licence, text in templates if (grams := bigrams_of(text))]
     ratio = threshold / (2 - threshold)
     low, high = min(len(g) for _, g in known) * ratio, max(len(g) for _, g in known) / ratio
-    whole = F.filter(F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("segment"))), lambda x: F.contains(x["segment"], F.lit("\n")))
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("segment")))
-    rows = keyed(docs, "text").where("text <> ''").select("doc_id", F.explode(F.concat(whole, lines)).alias("part"))
-    # lambdas see only their own elements: the optimizer may copy the words' expression into filters
-    words = words_of(F.col("part.segment"))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select("doc_id", "part.line", F.array_distinct(pairs).alias("grams")).where(F.size("grams").between(low, high))
+    # Each generator's output is computed once, and no filter moves below an outer one: words, then bigrams.
+    lines = F.transform(F.split(F.lower("text"), "\n"), words_of)
+    whole = lambda l: F.when(F.size(l) > 1, F.flatten(l)).otherwise(F.array().cast("array<string>"))
+    segments = F.transform(F.array(lines), lambda l: F.concat(F.array(whole(l)), l))
+    rows = keyed(docs, "text").where("text <> ''").select("doc_id", F.explode_outer(segments).alias("segments"))
+    rows = rows.select("doc_id", F.posexplode_outer(F.transform("segments", bigrams)).alias("line", "grams")).where(F.size("grams").between(low, high))
     # templates stand in the plan as constants; each bigram finds the templates that have it
     values = ", ".join(f"({i}, '{licence}', {len(grams)}, '{g}')" for i, (licence, grams) in enumerate(known) for g in grams)
     table = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(template, licence, n, gram)")
