@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = minhash.near_duplicates(docs)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # a merge join at every size: no side is known to be small
-    return docs.dropDuplicates(["doc_id"]).join(stay.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
