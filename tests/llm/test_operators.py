@@ -264,6 +264,40 @@ def test_licences(spark, empty):
     assert {k[0] for k in found} == {1, 2, 7} and licences.scan(empty).count() == 0
 
 
+def test_licence_windows(spark):
+    """Notices that share a line or are wrapped, and whole licence texts, against every window by brute force."""
+    whole = dict(licences.FULL_TEXTS)
+    wrapped = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    words = [f"w{i}" for i in range(300)]
+    filler = " ".join(words[:200])
+    rows = [
+        (1, "This small library was written by us in 2020. Released under the MIT License."),
+        (2, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + wrapped(whole["MIT"], 12)),
+        (3, filler + "\n" + wrapped(dict(licences.TEMPLATES)["MPL-2.0"], 6) + "\n" + filler),
+        (4, filler + " " + wrapped(whole["BSD"], 11)),
+        (5, "released under\nreleased under the the mit license " + filler),
+        (6, " ".join(words)),
+        (7, "Distributed by us. Licensed under the CC BY licence and 4.0 more."),
+    ]
+    found = {(r.doc_id, r.licence): (r.dice, r.line) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "MIT"), (2, "MIT"), (3, "MPL-2.0"), (4, "BSD"), (5, "MIT")} <= set(found)
+    assert found[1, "MIT"] == (1.0, 1) and found[3, "MPL-2.0"] == (1.0, 2) and found[2, "MIT"] == (1.0, 5) and found[4, "BSD"] == (1.0, 1)
+    expected = set()
+    for i, text in rows:
+        words = licences.re.sub(r"[^\w]|_", " ", text.lower()).split()
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        for licence, template in (*licences.TEMPLATES, *licences.FULL_TEXTS):
+            own = set(licences.bigrams_of(template))
+            for a, g in enumerate(grams):
+                window = set()
+                for b in range(a, min(len(grams), a + len(own) * 3 // 2) if g in own else a):
+                    window.add(grams[b])
+                    if 2 * len(window & own) >= 0.8 * (len(window) + len(own)) - 1e-9:
+                        expected.add((i, licence))
+                        break
+    assert set(found) == expected
+
+
 def test_urls(spark):
     rows = [(i, f"https://good.example.org/articles/{i}/view", "h") for i in range(60)] + [(100 + i, f"https://good.example.org/spam/{i}?x#y", "h") for i in range(60)]
     rows += [(200, None, "h"), (201, "no scheme", "h"), (202, "HTTPS://News.Example.COM/en/7?q", "h"), (203, "x://a.de.NET", "h"), (204, "https://example.net/de/81", "h"), (205, "https://a.example.com/en/1", "h")]
