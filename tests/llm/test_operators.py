@@ -309,3 +309,15 @@ def test_urls(spark):
     assert (found[202].host, found[202].rule, found[202].verdict) == ("news.example.com", "example.com/en/7", "allow")
     assert found[203].host == "a.de.net" and found[204].rule == "example.net/de/8" and found[205].rule == "com/en/"
     assert urls.judged(pages.limit(0), labels).count() == 0
+
+
+def test_urls_wide_and_deep(spark):
+    """A bad section beside many others, and a bad one below the fifth segment, keep branches of their own."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(2))
+    rows = [(i, f"https://wide.org/s{name(i % 40)}/page") for i in range(400)] + [(1000 + i, f"https://wide.org/spam/{i}") for i in range(20)]
+    rows += [(2000 + i, f"https://deep.org/a/b/c/d/e/{'bad' if i < 20 else 'good'}/{i}") for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1.0) for i in range(0, 400, 2)] + [(1000 + i, 0.0) for i in range(0, 20, 2)] + [(2000 + i, float(i >= 20)) for i in range(0, 100, 2)], "page_id long, good double")
+    found = {r.page_id: r for r in urls.judged(pages, labels, rules=()).collect()}
+    assert {i for i, r in found.items() if r.verdict == "block"} == {*range(1000, 1020), *range(2000, 2020)} and len(found) == len(rows)
+    assert found[1000].template == "/spam/*" and found[2000].template == "/*/*/*/*/*/bad/*"

@@ -1,10 +1,11 @@
 """Operator 10: URL filter by a path-template tree with smoothed purity.
 
 The path of a URL is split into segments; digits in a segment stand for any number. Each host has a
-tree of segments, generalised from the root: where a node has more than FANOUT different children
-they become one wildcard; otherwise children whose labels do not differ from those of all their
-siblings together (two-proportion z below Z, or too few labels to say) are merged into the wildcard
-and only the others keep a branch of their own. Below DEPTH segments the rest is one wildcard.
+tree of segments, generalised from the root: children whose labels do not differ from those of all
+their siblings together (two-proportion z below Z, or too few labels to say) are merged into one
+wildcard and only the others keep a branch of their own, however many children a node has. Levels
+are built until no node has labels enough for a branch, as then no deeper one has: the segments
+that are left are wildcards.
 
 A template's purity is its share of good labels, smoothed towards its host's, and that towards the
 share over all labels, by STRENGTH pseudo-labels each; below PURITY it is rejected.
@@ -29,8 +30,6 @@ from weft.llm.core import cut
 from weft.llm.graph import HEAVY, lookup
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-DEPTH = 4
-FANOUT = 16
 Z = 1.96
 LEAST_LABELS = 5
 STRENGTH = 4.0
@@ -46,11 +45,9 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def segment(level: int) -> Column:
-    """The path's segment at a level, digits generalised; empty where the path has ended."""
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    one = F.coalesce(F.get(parts, F.lit(level)), F.lit("")) if level < DEPTH else F.when(F.size(parts) > DEPTH, "**").otherwise("")
-    return F.regexp_replace(one, "[0-9]+", "#")
+def route_of(path: Column) -> Column:
+    """The path's segments joined by slashes, digits generalised."""
+    return F.regexp_replace(F.array_join(F.filter(F.split(path, "/"), lambda x: x != ""), "/"), "[0-9]+", "#")
 
 
 def by_rule(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
@@ -69,34 +66,39 @@ def heavy(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """Distinct (host, s0 ... s4) with n, good, bad and the template they belong to."""
-    levels = [f"s{i}" for i in range(DEPTH + 1)]
-    tree = urls.groupBy("host", *levels).agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    tree = cut(tree.withColumn("template", F.lit("")), "tree")
-    for level in levels:
-        keys = ["host", "template"]
-        children = cut(tree.where(F.col(level) != "").groupBy(*keys, level).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "children")
-        parents = children.groupBy(*keys).agg(F.count("*").alias("fan"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")).where(F.col("fan") <= FANOUT)
+    """Distinct (host, route) with n, good, bad and the template they belong to."""
+    tree = urls.groupBy("host", "route").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    tree = cut(tree.select("*", F.when(F.col("route") == "", 0).otherwise(F.size(F.split("route", "/"))).alias("size"), F.lit("").alias("template")), "tree")
+    keys, level = ["host", "template"], 0
+    while True:
+        part = F.get(F.split("route", "/"), F.lit(level))
+        children = cut(tree.where(F.col("size") > level).groupBy(*keys, part.alias("part")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "children")
+        parents = children.groupBy(*keys).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")).where(F.col("all_good") + F.col("all_bad") >= 2 * LEAST_LABELS)
         parents = cut(parents, "parents")
-        known = lookup(children, parents, keys, heavy(parents, children, keys)).where("fan IS NOT NULL")
+        if parents.isEmpty():
+            rest = F.repeat(F.lit("/*"), F.greatest(F.col("size") - level, F.lit(0)))
+            return tree.select("host", "route", "n", "good", "bad", F.concat("template", rest).alias("template"))
+        children = children.where(F.col("good") + F.col("bad") >= LEAST_LABELS)
+        known = lookup(children, parents, keys, heavy(parents, children, keys)).where("all_good IS NOT NULL")
         other_good, other_bad = F.col("all_good") - F.col("good"), F.col("all_bad") - F.col("bad")
         mine, others = F.col("good") + F.col("bad"), other_good + other_bad
         pool = F.col("all_good") / F.nullif(mine + others, F.lit(0))
         spread = F.sqrt(pool * (1 - pool) * (1 / F.nullif(mine, F.lit(0)) + 1 / F.nullif(others, F.lit(0))))
         z = F.abs(F.col("good") / F.nullif(mine, F.lit(0)) - other_good / F.nullif(others, F.lit(0))) / F.nullif(spread, F.lit(0.0))
-        own = known.where((mine >= LEAST_LABELS) & (others >= LEAST_LABELS) & (z >= Z)).select(*keys, level, F.col(level).alias("branch"))
+        own = known.where((mine >= LEAST_LABELS) & (others >= LEAST_LABELS) & (z >= Z)).select(*keys, "part", F.col("part").alias("branch"))
         own = cut(own, "branches")
-        tree = lookup(tree, own, [*keys, level], heavy(own, tree, [*keys, level]))
-        step = F.when(F.col(level) == "", "").otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
-        tree = cut(tree.withColumn("template", F.concat("template", step)).drop("branch"), "tree")
-    return tree
+        tree = tree.withColumn("part", part)
+        tree = lookup(tree, own, [*keys, "part"], heavy(own, tree, [*keys, "part"]))
+        step = F.when(F.col("size") <= level, "").otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
+        tree = cut(tree.withColumn("template", F.concat("template", step)).drop("branch", "part"), "tree")
+        level += 1
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, template, purity and verdict of each page; labels: (page_id, good 0/1)."""
     marks = labels.where("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.avg("good").alias("mark"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.select("*", *(segment(i).alias(f"s{i}") for i in range(DEPTH + 1)))
+    rows = rows.select("*", route_of(F.col("path")).alias("route"))
     rows = cut(rows.join(marks, "page_id", "left").select(*rows.columns, F.coalesce(F.col("mark"), F.lit(0.0)).alias("good"), F.coalesce(1 - F.col("mark"), F.lit(0.0)).alias("bad")), "pages")
     tree = templates(rows)
     total = tree.agg(F.sum("good"), F.sum(F.col("good") + F.col("bad"))).first()
@@ -106,7 +108,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str
     nodes = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     nodes = lookup(nodes, hosts, ["host"], heavy(hosts, nodes, ["host"])).select("host", "template", smoothed(F.col("g"), F.col("b"), F.col("host_purity")).alias("purity"))
     nodes = cut(nodes, "nodes")
-    keys = ["host", *(f"s{i}" for i in range(DEPTH + 1))]
+    keys = ["host", "route"]
     placed = cut(lookup(tree.select(*keys, "template", "n"), nodes, ["host", "template"], heavy(nodes, tree, ["host", "template"])), "placed")
     many = max(2, rows.count() // HEAVY)
     out = lookup(rows, placed.drop("n"), keys, placed.where(F.col("n") >= many).drop("n"))
