@@ -1,6 +1,7 @@
 """Operators against brute force and on odd inputs: nulls, empty and long texts, ties, repeats, clashing columns, empty tables."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -257,6 +258,17 @@ def test_risk_bound(spark):
     assert found["en"].cut_symbols == 0.01 and "xx" not in found
 
 
+def test_log_tail_of_many(spark):
+    """Exact at every n: beyond a million good documents too."""
+    cases = [(3_000_000, 29_400), (3_000_000, 29_350), (2_000_000, 15_000), (1_500_000, 40), (900_000, 8_800), (50_000_000, 499_000)]
+    found = spark.createDataFrame(cases, "n long, k long").select("n", "k", rules.log_tail(F.col("n"), F.col("k"), 0.01).alias("p")).collect()
+    for r in found:
+        one = lambda j, n=r.n: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(0.01) + (n - j) * math.log(0.99)
+        top = one(r.k)
+        assert abs(r.p - top - math.log(sum(math.exp(one(j) - top) for j in range(r.k + 1)))) < 1e-4
+    assert {r.n: r.p for r in found if r.k == 29_400}[3_000_000] < math.log(0.05 / 128)
+
+
 def test_licences(spark, empty):
     rows = [(1, "intro\nReleased under  the MIT License!\nend"), (2, "licensed UNDER the apache license version 2 0"), (3, None), (4, ""), (5, "word"), (6, "plain text of no licence at all here"), (None, "Released under the MIT License."), (7, "x\n" * 500 + "Licensed under CC BY-NC 4.0.")]
     found = {(r.doc_id, r.licence): (r.dice, r.line) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

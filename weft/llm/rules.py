@@ -7,7 +7,7 @@ at most DELTA over the number of tests (Bonferroni over strata, rules and cutoff
 binomial tail P(Bin(n, RISK) <= k). The lowest safe cutoff of each stratum and rule is used, so with
 probability 1 - DELTA no rule falsely rejects more than RISK of the good documents of any stratum.
 Where the labels cannot show that, the rule does not reject. Above EXACT good documents the tail is
-bounded by Chernoff's inequality, which is larger and so keeps the guarantee.
+summed downward from k until terms no longer count, so its length grows with the root of n only.
 
 Statistics are computed once, in the row, and cut; strata with a thousandth of all documents or
 more (so at most a thousand of them) are looked up by broadcast, the others by a shuffle.
@@ -78,15 +78,23 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def log_tail(n: Column, k: Column, risk: float) -> Column:
-    """Logarithm of P(Bin(n, risk) <= k), or a bound above it for large n; k at most risk * n."""
+    """Logarithm of P(Bin(n, risk) <= k); k at most risk * n."""
     odds, none = math.log(risk / (1 - risk)), n * math.log(1 - risk)
     both = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
     term = lambda acc, j: acc["term"] + F.log(n - j + 1) - F.log(j.cast("double")) + odds
     step = lambda acc, j: F.struct(term(acc, j).alias("term"), both(acc["sum"], term(acc, j)).alias("sum"))
-    exact = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), F.struct(none.alias("term"), none.alias("sum")), step, lambda acc: acc["sum"])
+    upward = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), F.struct(none.alias("term"), none.alias("sum")), step, lambda acc: acc["sum"])
+    # the term of k by Loader's form of Stirling's series; the others relative to it
     rate = k / n
-    chernoff = -n * (F.when(k > 0, rate * F.log(rate / risk)).otherwise(0.0) + (1 - rate) * F.log((1 - rate) / (1 - risk)))
-    return F.when(n <= EXACT, exact).otherwise(chernoff)
+    stirling = lambda x: 1 / (12 * x) - 1 / (360 * x * x * x)
+    real = lambda x: x.cast("double")
+    top = -n * (rate * F.log(rate / risk) + (1 - rate) * F.log((1 - rate) / (1 - risk))) + stirling(real(n)) - stirling(real(k)) - stirling(real(n - k)) - F.log(2 * math.pi * k * (1 - rate)) / 2
+    reach = F.least(k, F.ceil(12 * F.sqrt(n * risk)) + 50)  # terms beyond are below exp(-50) of the first
+    down = lambda acc, i: acc["term"] * (k - i + 1) / (n - k + i) * ((1 - risk) / risk)
+    more = lambda acc, i: F.struct(down(acc, i).alias("term"), (acc["sum"] + down(acc, i)).alias("sum"))
+    one = F.lit(1.0)
+    downward = top + F.log(F.aggregate(F.sequence(F.lit(1).cast("long"), reach), F.struct(one.alias("term"), one.alias("sum")), more, lambda acc: acc["sum"]))
+    return F.when((n <= EXACT) | (k <= 100), upward).otherwise(downward)
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
