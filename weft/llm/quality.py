@@ -1,8 +1,8 @@
 """Operator 2: quality classifier on random-indexing word vectors.
 
-Tokens are runs of letters, of digits or of other visible bytes. Random indexing: every token has a
-sparse ternary index vector drawn from its hash, and a context vector, the sum of the index vectors
-of its neighbours two to each side over all documents; tokens share BUCKETS context rows by hash.
+Tokens are runs of letters, of digits or of other visible bytes. Random indexing: tokens share
+BUCKETS rows by hash, and every row has a sparse ternary index vector and a context vector, the sum
+of the index vectors of its tokens' neighbours two to each side over all documents.
 A document is pooled as the mean word vector over its tokens and over its distinct tokens, with the
 logarithms of both counts. A two-layer network, trained in numpy, scores the pooled vector; its
 logits are divided by a temperature fitted on rows that it was not trained on.
