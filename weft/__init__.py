@@ -1 +1,8 @@
 """weft: a Spark-first engine for ontology graphs, vector search and corpus preparation."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this repository on their path: functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
