@@ -1,7 +1 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
-
-import weft
-from pyspark import cloudpickle
-
-# Executors need not have this repository on their path: functions travel by value.
-cloudpickle.register_pickle_by_value(weft)

@@ -13,24 +13,31 @@ visible character, a piece never crosses into the next space-led chunk, so chunk
 a bounded memo; other texts are cut by the pattern as a whole. Both give the same ids.
 
 Defined results: a null or empty text has no ids; text is encoded whole at any length; special
-tokens are ordinary text; repeated doc_id rows give one result row each; extra columns are ignored.
+tokens are ordinary text; a repeated doc_id is one document, its smallest text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.core import keyed, remembered
+from weft.llm.core import buffer, keyed, remembered, slices, tidied
 
-#: Chunks, words and fifths of pairs that a worker remembers, those of up to LONG characters; then it starts afresh.
-MEMO = 400_000
+#: Bytes that each memo (words, chunks, pairs) of a worker may take, as sized below; then it starts afresh.
+MEMO_BYTES = 24 << 20
+#: Words and chunks of more characters are not remembered.
 LONG = 100
+#: Text bytes whose ids are held at a time; a longer text is alone.
+BATCH_BYTES = 1 << 20
+#: About what CPython takes for an entry: of a dictionary, for its key, and for the tuple of ids that it holds.
+ENTRY, PAIR = 260, 190
 NONE = 1 << 60
 
 
@@ -57,6 +64,22 @@ class Codec:
         self.prefix: dict[int, int | None] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.room = dict.fromkeys(("words", "chunks"), MEMO_BYTES)
+
+    def forget(self) -> None:
+        """Empty the memos, as at the end of a task."""
+        for memo in (self.pairs, self.words, self.chunks):
+            memo.clear()
+        self.room = dict.fromkeys(self.room, MEMO_BYTES)
+
+    def remember(self, name: str, text: str, ids: tuple[int, ...]) -> None:
+        memo = self.words if name == "words" else self.chunks
+        size = ENTRY + 4 * len(text) + 8 * len(ids)
+        if self.room[name] < size:
+            memo.clear()
+            self.room[name] = MEMO_BYTES
+        self.room[name] -= size
+        memo[text] = ids
 
     def merged(self, raw: bytes) -> list[int]:
         """Ids by plain merging, lowest rank first; for the few bytes of one or two tokens."""
@@ -80,7 +103,7 @@ class Codec:
         known = self.pairs.get((left, right))
         if known is None:
             known = self.merged(self.bytes_of.get(left, b"") + self.bytes_of[right]) == ([right] if left < 0 else [left, right])
-            if len(self.pairs) > 5 * MEMO:
+            if len(self.pairs) * PAIR > MEMO_BYTES:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
@@ -140,9 +163,7 @@ class Codec:
         if known is None:
             known = tuple(self.piece(text.encode("utf-8", "surrogatepass")))
             if len(text) <= LONG:
-                if len(self.words) > MEMO:
-                    self.words.clear()
-                self.words[text] = known
+                self.remember("words", text, known)
         return known
 
     def chunk(self, text: str) -> tuple[int, ...]:
@@ -151,9 +172,7 @@ class Codec:
         if known is None:
             known = tuple(chain.from_iterable(map(self.word, self.cut(text))))
             if len(text) <= LONG:
-                if len(self.chunks) > MEMO:
-                    self.chunks.clear()
-                self.chunks[text] = known
+                self.remember("chunks", text, known)
         return known
 
     def encode(self, text: str) -> list[int]:
@@ -214,12 +233,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = remembered(("bpe", path, pattern), lambda: Codec(load_ranks(path), pattern))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for a, b in slices(buffer(batch.column(1))[1], BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                counts, flat = np.zeros(b - a + 1, np.int32), array("i")
+                for i, text in enumerate(part.column(1)):
+                    flat.extend(codec.encode(text.as_py()))
+                    counts[i + 1] = len(flat)
+                ids = pa.ListArray.from_arrays(pa.array(counts), pa.array(np.frombuffer(flat, np.int32)))
+                yield pa.record_batch([part.column(0), ids], ["doc_id", "ids"])
+        codec.forget()
 
-    return keyed(docs, "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return keyed(docs, "text").mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -248,8 +272,9 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 hashed.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
-    return keyed(docs, "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return keyed(docs, "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

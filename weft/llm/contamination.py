@@ -14,8 +14,8 @@ exact edit distance of the item to any run of words there.
 Items go to every executor, in blocks of at most BLOCK_BYTES; documents are read once for each
 block and nothing is shuffled.
 
-Defined results: null or empty texts and items match nothing; repeated item ids or doc ids give a
-row for each distinct pair; rows without an id are left out; extra columns are ignored.
+Defined results: null or empty texts and items match nothing; a repeated doc_id is one document, its
+smallest text; a repeated item_id gives a row for each document that holds any of its texts; rows without an id are left out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.core import Words, buffer, keyed, longs, mixed, prefix_hash, slices, window_hash
+from weft.llm.core import Words, buffer, keyed, longs, mixed, runs, slices, tidied
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -100,8 +100,7 @@ class Items:
             if not len(w):
                 continue
             run = min(LONGEST_RUN, max(1, len(w) // (k + 1)))
-            at = np.arange(len(w) - run + 1)
-            for o, h in zip(at.tolist(), window_hash(prefix_hash(w), at, at + run).tolist(), strict=True):
+            for o, h in enumerate(runs(w, run).tolist()):
                 grams[run][h].append((i, o))
             widths[len(w)].append(i)
         for width, members in widths.items():
@@ -117,10 +116,9 @@ class Items:
 
     def found(self, words: Words) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, end) of the best fit of each item in each row that holds it."""
-        prefix, diagonals = prefix_hash(words.hash), set()
+        diagonals = set()
         for run, seen, places in self.grams:
-            at = np.arange(max(0, len(words.hash) - run + 1))
-            h = window_hash(prefix, at, at + run)
+            h = runs(words.hash, run)
             hit = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)])
             hit = hit[words.row[hit] == words.row[hit + run - 1]]
             for p, key in zip(hit.tolist(), h[hit].tolist(), strict=True):
@@ -177,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                 columns = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "end_word"])
 
-        part = keyed(docs, "text").mapInArrow(run, schema)
+        part = keyed(docs, "text").mapInArrow(tidied(run), schema)
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "end_word")).alias("best")).select("doc_id", "item_id", "best.edits", "best.end_word")
 

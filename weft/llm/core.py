@@ -1,53 +1,90 @@
 """What the operators share: tables cut from their lineage, and text as arrays of word hashes.
 
 Text is handled as one byte buffer per Arrow batch. Words are maximal runs of bytes other than
-0x20 and 0x09-0x0D, so word boundaries and 64-bit word hashes of a whole batch come from a few
-numpy passes; no Python object is made per word.
+0x20 and 0x09-0x0D, so word boundaries and word hashes of a whole batch come from a few numpy
+passes; no Python object is made per word.
+
+Hashes chain 8 bytes at a time through a 64-bit mixer, and runs of words are hashed as a tree of
+the words' hashes, so no sum of powers can cancel. Two seeds give 128 bits where a hash decides.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: An odd multiplier and its inverse modulo 2**64, for prefix sums of polynomial hashes.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+from weft.lineage import cut as cut  # the operators take it from here
+
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Seeds of two independent hashes.
+ONE, TWO = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+#: Stretches of more bytes than this are hashed one by one.
+LONG_STRETCH = 256
 #: Texts are hashed in slices of about this many bytes, so a batch of long texts stays small.
 SLICE_BYTES = 1 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        known = f"file://{tempfile.gettempdir()}/weft-checkpoints-{spark.sparkContext.applicationId}"
-    return known.rstrip("/")
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared checkpoint folder and read it back.
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id as a long and columns, one row for each doc_id; rows without a doc_id have no place in any result.
 
-    The copy does not depend on any executor, and downstream joins see plain scans, whose
-    skewed partitions adaptive execution can split.
+    Where a doc_id is repeated, the row whose columns sort first (null before all) is the document,
+    so the order of rows never matters. Only ids are counted to see whether any is repeated.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in columns)).where("doc_id IS NOT NULL")
+    again = cut(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return rows
+    # merge joins at every size: no side is known to be small
+    many = rows.join(again.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row"))
+    return rows.join(again.hint("merge"), "doc_id", "left_anti").unionByName(many.select("doc_id", *(F.col("row").getField(c).alias(c) for c in columns)))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def tidied(run: Callable) -> Callable:
+    """run, over batches; what it used goes back to the system when a task ends."""
 
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(given)
+        finally:
+            given_back()
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id as a long and text, nothing else; rows without a doc_id have no place in any result."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in columns)).where("doc_id IS NOT NULL")
+    return batches
+
+
+def tidied_group(run: Callable) -> Callable:
+    """The same for a function of one table, or of two, each of them large."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            given_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            given_back()
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
+def given_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
 
 
 def longs(array: pa.Array) -> np.ndarray:
@@ -74,46 +111,62 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES):
         a = b
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**n modulo 2**64."""
-    known = _powers.get(base)
-    if known is None or len(known) <= n:
-        size = max(n + 1, 1 << 16)
-        with np.errstate(over="ignore"):
-            known = np.ones(size, np.uint64)
-            known[1:] = np.uint64(base)
-            np.multiply.accumulate(known, out=known)
-        if size <= 8 * SLICE_BYTES:
-            _powers[base] = known
-    return known[: n + 1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     with np.errstate(over="ignore"):
         x = x ^ (x >> np.uint64(30))
-        x = x * np.uint64(0xBF58476D1CE4E5B9)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(27)
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """P with P[i] the polynomial sum of values before i; see window_hash."""
-    out = np.zeros(len(values) + 1, np.uint64)
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a little-endian number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded.data, strides=(1,))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def stretch_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = ONE) -> np.ndarray:
+    """64-bit hashes of data[start:end]; of one length up to 8 bytes, no two are equal."""
+    view, size = lanes(data), end - start
     with np.errstate(over="ignore"):
-        np.cumsum(values * powers(BASE, len(values))[:-1], out=out[1:])
+        out = mixed(size.astype(np.uint64) * ODD + np.uint64(seed))
+    live = np.flatnonzero((size > 0) & (size <= LONG_STRETCH))
+    at, left, h = start[live], size[live], out[live]
+    while len(live):
+        h = mixed(h ^ (view[at] & _MASKS[np.minimum(left, 8)]))
+        out[live] = h
+        more = left > 8
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > LONG_STRETCH).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 
-def window_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end], equal for equal runs wherever they stand."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two hashed stretches, one after the other."""
     with np.errstate(over="ignore"):
-        return mixed((prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start] + (end - start).astype(np.uint64))
+        return mixed(a * ODD + b)
+
+
+def runs(values: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of values[i : i+length] for each i that has as many, by doubling."""
+    if len(values) < length:
+        return np.zeros(0, np.uint64)
+    out, done, part, width = None, 0, values, 1
+    while True:
+        if length & width:
+            m = len(values) - (done + width) + 1
+            out = part[:m] if out is None else joined(out[:m], part[done : done + m])
+            done += width
+        if done == length:
+            return joined(out, np.full(1, length, np.uint64))
+        part, width = joined(part[:-width], part[width:]), 2 * width
 
 
 _SPACE = np.zeros(256, bool)
@@ -137,10 +190,14 @@ class Words:
         end[:-1] &= ~word[1:] | edge[1:-1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, at)
-        p = prefix_hash((_LOWER[self.data] if lower else self.data).astype(np.uint64) + np.uint64(1))
-        self.hash = window_hash(p, self.start, self.end)
+        self.read = _LOWER[self.data] if lower else self.data
+        self.hash = stretch_hash(self.read, self.start, self.end)
         self.row = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
 
+    def other(self) -> np.ndarray:
+        """A second, independent hash of each word."""
+        return stretch_hash(self.read, self.start, self.end, TWO)
+
     def kept(self, row: int, keep: np.ndarray | None = None) -> bytes:
         """Words of a row (those that keep marks), joined by one space."""
         a, b = self.first[row], self.first[row + 1]

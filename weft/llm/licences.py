@@ -16,8 +16,8 @@ starts without so many ahead, are passed over, with no loss. Windows also meet F
 Defined results: null and empty texts match nothing; a segment or template of one word has no
 bigrams and matches nothing; a document gives one row for each licence, that of its best segment
 (the earliest on ties; the whole document counts as line 0), or else of its best window, at the line
-of the window's first word; repeated doc_id rows are counted
-together; rows without doc_id are left out.
+of the window's first word; a repeated doc_id is one document, its smallest text; rows without
+doc_id are left out.
 """
 
 from __future__ import annotations
@@ -145,7 +145,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     lines = F.transform(F.split(F.lower("text"), "\n"), words_of)
     whole = lambda l: F.when(F.size(l) > 1, F.flatten(l)).otherwise(F.array().cast("array<string>"))
     segments = F.transform(F.array(lines), lambda l: F.concat(F.array(whole(l)), l))
-    rows = keyed(docs, "text").where("text <> ''").select("doc_id", F.explode_outer(segments).alias("segments"))
+    texted = keyed(docs, "text").where("text <> ''")
+    rows = texted.select("doc_id", F.explode_outer(segments).alias("segments"))
     rows = rows.select("doc_id", F.posexplode_outer(F.transform("segments", bigrams)).alias("line", "grams")).where(F.size("grams").between(low, high))
     # templates stand in the plan as constants; each bigram finds the templates that have it
     values = ", ".join(f"({i}, '{licence}', {len(grams)}, '{g}')" for i, (licence, grams) in enumerate(known) for g in grams)
@@ -155,7 +156,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     met = met.where((F.col("size") >= F.col("n") * ratio) & (F.col("size") * ratio <= F.col("n")))
     shared = met.groupBy("doc_id", "line", "template").agg(F.first("licence").alias("licence"), (2 * F.count("*") / F.first(F.col("size") + F.col("n"))).alias("dice"))
     found = shared.where(F.col("dice") >= threshold).select("doc_id", "licence", F.lit(True).alias("segment"), "dice", (-F.col("line")).alias("back"))
-    found = found.unionByName(windows(keyed(docs, "text").where("text <> ''"), (*templates, *texts), threshold).withColumn("segment", F.lit(False)))
+    found = found.unionByName(windows(texted, (*templates, *texts), threshold).withColumn("segment", F.lit(False)))
     found = found.groupBy("doc_id", "licence").agg(F.max(F.struct("segment", "dice", "back")).alias("best"))
     return found.select("doc_id", "licence", F.round("best.dice", 6).alias("dice"), (-F.col("best.back")).alias("line"))
 

@@ -1,7 +1,7 @@
 """Operator 1: MinHash near-dedup with sequential Bayesian verification.
 
 Each document is its set of distinct 5-word shingles over words with A-Z in lower case. Documents
-of equal sets (128 bits) form a class, and one document stands for it. Representatives meet in
+of equal sets (by 128 bits of two independent hashes of the words) form a class, and one document stands for it. Representatives meet in
 bands of 5 minimum hashes; there are as many bands as leave a pair at the threshold unmet with
 less than the chosen probability. In each bucket every member is paired with one centre: the member
 that agrees best with the bucket's commonest hashes, so that in a group of variants it is the text
@@ -17,8 +17,8 @@ its two sides are still in different components. Members of such buckets are com
 components, in blocks, with the same pruning and verification, so no link is lost to the star.
 
 Defined results: a document without words has n_shingles 0 and is its own component; fewer than
-five words are one shingle; repeated rows of a doc_id give one row each; rows without doc_id are
-left out; extra columns are ignored; texts are taken whole.
+five words are one shingle; a repeated doc_id is one document, its smallest text; rows without
+doc_id are left out; extra columns are ignored; texts are taken whole.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import rendezvous as rv
-from weft.llm.core import Words, buffer, cut, keyed, longs, mixed, prefix_hash, slices, window_hash
+from weft.llm.core import Words, buffer, cut, joined, keyed, longs, mixed, runs, slices, tidied, tidied_group
 from weft.llm.graph import HEAVY, components, lookup
 
 SHINGLE = 5
@@ -58,17 +58,32 @@ def least_equal(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def shingles_of(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each row the hashes of its shingles in order; fewer than SHINGLE words are one shingle."""
+    whole, size = runs(hashes, SHINGLE), np.diff(first)
+    short = {n: runs(hashes, n) for n in range(1, SHINGLE) if (size == n).any()}
+    return [whole[a : a + n - SHINGLE + 1] if n >= SHINGLE else short[n][a : a + 1] if n else whole[:0] for a, n in zip(first.tolist(), size.tolist(), strict=False)]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """For each row its sorted distinct shingle hashes."""
     for a, b in slices(offsets):
         words = Words(data, offsets[a : b + 1], lower=True)
-        p, size = prefix_hash(words.hash), np.diff(words.first)
-        last = np.maximum(size - SHINGLE + 1, np.minimum(size, 1))
-        first = np.concatenate([[0], np.cumsum(last)])
-        start = np.repeat(words.first[:-1] - first[:-1], last) + np.arange(first[-1])
-        h = window_hash(p, start, start + np.repeat(np.minimum(size, SHINGLE), last))
-        for i in range(b - a):
-            yield a + i, np.unique(h[first[i] : first[i + 1]])
+        yield from map(np.unique, shingles_of(words.hash, words.first))
+
+
+def strong_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """For each row its sorted distinct shingle hashes, and 128 bits that say which words make up its set.
+
+    Each shingle has two independent 64-bit hashes of its words, one of which makes the set; both
+    are summed, mixed, over the set.
+    """
+    with np.errstate(over="ignore"):
+        for a, b in slices(offsets):
+            words = Words(data, offsets[a : b + 1], lower=True)
+            for one, two in zip(shingles_of(words.hash, words.first), shingles_of(words.other(), words.first), strict=True):
+                own, at = np.unique(one, return_index=True)
+                yield own, mixed(own).sum().astype(np.int64), mixed(joined(own, two[at])).sum().astype(np.int64)
 
 
 def signature(shingles: np.ndarray, factors: np.ndarray, addends: np.ndarray) -> np.ndarray:
@@ -139,15 +154,14 @@ class NearDuplicates:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 size, one, two, sigs = [], [], [], []
-                for _, s in shingle_sets(*buffer(batch.column(1))):
+                for s, h1, h2 in strong_sets(*buffer(batch.column(1))):
                     size.append(len(s))
-                    with np.errstate(over="ignore"):
-                        one.append(mixed(s).sum().astype(np.int64))
-                        two.append(mixed(s ^ np.uint64(0x5555555555555555)).sum().astype(np.int64))
+                    one.append(h1)
+                    two.append(h2)
                     sigs.append(signature(s, factors, addends).tobytes() if len(s) else None)
                 yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
 
-        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+        return self.docs.mapInArrow(tidied(run), "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
     def pairs(self, reps: DataFrame) -> DataFrame:
         """Candidate pairs: a, the centre of a bucket, with each other member b.
@@ -209,8 +223,8 @@ class NearDuplicates:
             return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
         chunks = reps.select("doc_id", "sig").withColumn("chunk", rv.chunk_column(parts)).groupBy("chunk")
-        chosen = chunks.applyInArrow(propose, rv.SCHEMA).repartitionById(parts, "key").mapInArrow(choose, "chunk int, blob binary")
-        return chunks.cogroup(chosen.groupBy("chunk")).applyInArrow(pair, "a long, b long").distinct()
+        chosen = chunks.applyInArrow(tidied_group(propose), rv.SCHEMA).repartitionById(parts, "key").mapInArrow(tidied(choose), "chunk int, blob binary")
+        return chunks.cogroup(chosen.groupBy("chunk")).applyInArrow(tidied_group(pair), "a long, b long").distinct()
 
     def sides(self, ids: DataFrame) -> DataFrame:
         """id, sig and shingles (sorted hashes) of the documents with these ids (doc_id)."""
@@ -218,11 +232,11 @@ class NearDuplicates:
 
         def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [s for _, s in shingle_sets(*buffer(batch.column(1)))]
+                sets = list(shingle_sets(*buffer(batch.column(1))))
                 yield pa.record_batch([batch.column(0), pa.array([signature(s, factors, addends).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sig", "shingles"])
 
         # a merge join at every size: no side is known to be small
-        found = self.docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(side, "id long, sig binary, shingles binary")
+        found = self.docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(tidied(side), "id long, sig binary, shingles binary")
         return cut(found.dropDuplicates(["id"]), "sides")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -251,7 +265,7 @@ class NearDuplicates:
         sides = self.sides(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
         of = lambda c: sides.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("shingles").alias(f"shingles_{c}"))
         both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sig_a", "sig_b", "shingles_a", "shingles_b")
-        return cut(both.mapInArrow(decide, "a long, b long, linked boolean, buckets array<long>"), "verdicts")
+        return cut(both.mapInArrow(tidied(decide), "a long, b long, linked boolean, buckets array<long>"), "verdicts")
 
     def limits(self) -> list[tuple[int, int]]:
         t = self.threshold[0] / self.threshold[1]

@@ -13,7 +13,8 @@ labelled documents, those of smallest hash; that bound is the parameter fit_rows
 
 Defined results: null and empty texts pool to zeros and get that score; labels that disagree for a
 document count by their mean; labels that are null are ignored; without usable labels every score
-is the prior of one half; repeated doc_id rows give one row each; rows without doc_id are left out.
+is the prior of one half; a repeated doc_id is one document, its smallest text; rows without doc_id
+are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.core import buffer, keyed, mixed, prefix_hash, slices, window_hash
+from weft.llm.core import buffer, keyed, mixed, slices, stretch_hash, tidied
 
 SIZE = 32
 BUCKETS = 4096
@@ -52,7 +53,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start, end = cut[:-1], cut[1:]
     seen = kind[start] > 0 if len(start) else np.zeros(0, bool)
     start, end = start[seen], end[seen]
-    return window_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1)), start, end), np.searchsorted(start, at)
+    return stretch_hash(data, start, end), np.searchsorted(start, at)
 
 
 def index_vectors() -> np.ndarray:
@@ -93,7 +94,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
             rows = np.flatnonzero(total.any(axis=1))
             yield pa.record_batch([pa.array(rows), *(pa.array(total[rows, i]) for i in range(SIZE))], ["bucket", *names])
 
-    sums = docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names))
+    sums = docs.select("text").mapInArrow(tidied(run), "bucket long, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names))
     out = np.zeros((BUCKETS, SIZE), np.float32)
     for r in sums.collect():
         out[r[0]] = r[1:]
@@ -188,7 +189,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
             yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
     ids = spark.createDataFrame([(i,) for i in sorted(mark)], "doc_id long")
-    rows = docs.join(F.broadcast(ids), "doc_id").mapInArrow(features, "doc_id long, x binary").dropDuplicates(["doc_id"]).collect()
+    rows = docs.join(F.broadcast(ids), "doc_id").mapInArrow(tidied(features), "doc_id long, x binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
     width = 2 * vectors.shape[1] + 2
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), width) if rows else np.zeros((0, width), np.float32)
@@ -200,7 +201,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
             scores = pa.array(network.scores(x) if network else np.full(len(x), 0.5), pa.float64())
             yield pa.record_batch([batch.column(0), scores, *(batch.column(c) for c in carry)], ["doc_id", "score", *carry])
 
-    return carried.mapInArrow(score, "doc_id long, score double" + "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry))
+    return carried.mapInArrow(tidied(score), "doc_id long, score double" + "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.core import longs, shuffle_partitions
+from weft.llm.core import longs, shuffle_partitions, tidied
 
 SCHEMA = "key int, chunk int, blob binary"
 #: Input bytes (as the files have them) for each partition and chunk, at most.
@@ -60,12 +60,14 @@ def unpack(blob: bytes, *dtypes: type) -> list[np.ndarray]:
     return [np.cumsum(out[0]), *out[1:]]
 
 
-def grouped(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by (h, doc, pos), whether each entry begins a hash there, and whether its hash has two distinct entries."""
-    order = np.lexsort((pos, doc, h))
+def grouped(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by (h, more, doc, pos), whether each entry begins a hash there, and whether its hash has two distinct entries."""
+    order = np.lexsort((pos, doc, h) if more is None else (pos, doc, more, h))
     h, doc, pos = h[order], doc[order], pos[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
+    if more is not None:
+        new[1:] |= more[order[1:]] != more[order[:-1]]
     other = np.zeros(len(h), bool)
     other[1:] = ~new[1:] & ((doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))
     first = np.flatnonzero(new)
@@ -82,22 +84,25 @@ def answers(doc: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int,
         yield int(chunk[a]), int(chunk[a]), pack(doc[a:b], pos[a:b].astype(np.uint32))
 
 
-def entries(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int, exact: bool) -> Iterator[tuple[int, int, bytes]]:
+def entries(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int, more: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
     """Rows for a slice: its own repeats as answers, and one entry for each distinct hash.
 
-    exact False sends 32 bits of the hash besides its partition: enough to sift, not to decide.
+    more: 64 further bits, which go along, so that hashes decide. Without them 32 bits of the hash
+    are sent besides its partition: enough to sift, not to decide.
     """
     if not len(h):
         return
-    order, new, many = grouped(h, doc, pos)
+    order, new, many = grouped(h, doc, pos, more)
     yield from answers(doc[order[many]], pos[order[many]], parts)
-    h, doc, pos = h[order[new]], doc[order[new]], pos[order[new]]
-    part = (h % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((pos, doc, part))
-    part, h, doc, pos = part[order], h[order] if exact else (h[order] // np.uint64(parts)).astype(np.uint32), doc[order], pos[order].astype(np.uint32)
+    own = order[new]
+    part = (h[own] % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((pos[own], doc[own], part))
+    own, part = own[by], part[by]
+    h, doc, pos = h[own], doc[own], pos[own].astype(np.uint32)
+    hashes = [h, more[own]] if more is not None else [(h // np.uint64(parts)).astype(np.uint32)]
     edge = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield int(part[a]), -1, pack(doc[a:b], h[a:b], pos[a:b])
+        yield int(part[a]), -1, pack(doc[a:b], *(x[a:b] for x in hashes), pos[a:b])
 
 
 def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -112,17 +117,17 @@ def meet(rows: DataFrame, parts: int, exact: bool) -> DataFrame:
         got = []
         for b in batches:
             mine = b.column(1).to_numpy() < 0
-            got += [unpack(x.as_py(), np.uint64 if exact else np.uint32, np.uint32) for x in b.column(2).filter(pa.array(mine))]
+            got += [unpack(x.as_py(), *([np.uint64] * 2 if exact else [np.uint32]), np.uint32) for x in b.column(2).filter(pa.array(mine))]
             yield b.filter(pa.array(~mine)).select(["chunk", "blob"])
         if got:
-            doc, h, pos = (np.concatenate(x) for x in zip(*got, strict=True))
+            doc, h, *more, pos = (np.concatenate(x) for x in zip(*got, strict=True))
             got.clear()
-            order, _, many = grouped(h, doc, pos)
+            order, _, many = grouped(h, doc, pos, *more)
             found = [(c, blob) for _, c, blob in answers(doc[order[many]], pos[order[many]].astype(np.int64), parts)]
             if found:
                 yield pa.record_batch([pa.array([c for c, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["chunk", "blob"])
 
-    return rows.repartitionById(parts, "key").mapInArrow(run, "chunk int, blob binary")
+    return rows.repartitionById(parts, "key").mapInArrow(tidied(run), "chunk int, blob binary")
 
 
 def answered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +143,6 @@ def answered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], pos[new]
 
 
-def distinct_rows(table: pa.Table) -> pa.Table:
-    """The first row of each doc_id."""
-    doc = longs(table.column("doc_id").combine_chunks()) if table.num_rows else np.zeros(0, np.int64)
-    _, first = np.unique(doc, return_index=True)
-    return table if len(first) == len(doc) else table.take(pa.array(np.sort(first)))
-
-
 def rows_of(table: pa.Table, doc: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """The answered documents of a chunk: their ids, texts, and for each answer the row among them."""
     ids = longs(table.column("doc_id").combine_chunks()) if table.num_rows else np.zeros(0, np.int64)

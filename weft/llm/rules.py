@@ -2,10 +2,11 @@
 
 Each rule rejects documents whose statistic reaches a cutoff. For every stratum (language), rule and
 cutoff of a fixed grid, the labelled good documents that the cutoff would reject are counted: k of
-n. The cutoff is safe if k is so small that a false rejection rate of RISK or more has probability
-at most DELTA over the number of tests (Bonferroni over strata, rules and cutoffs), by the exact
-binomial tail P(Bin(n, RISK) <= k). The lowest safe cutoff of each stratum and rule is used, so with
-probability 1 - DELTA no rule falsely rejects more than RISK of the good documents of any stratum.
+n. The rules share RISK evenly: a cutoff is safe if k is so small that a false rejection rate of
+r = RISK / rules or more has probability at most DELTA over the number of tests (Bonferroni over
+strata, rules and cutoffs), by the exact binomial tail P(Bin(n, r) <= k). The lowest safe cutoff of
+each stratum and rule is used, so with probability 1 - DELTA the rules together falsely reject at
+most RISK of the good documents of any stratum.
 Where the labels cannot show that, the rule does not reject. Above EXACT good documents the tail is
 summed downward from k until terms no longer count, so its length grows with the root of n only.
 
@@ -14,7 +15,7 @@ more (so at most a thousand of them) are looked up by broadcast, the others by a
 
 Defined results: null and empty texts have all counts 0 and fail the base; a null language is a
 stratum of its own; labels that are null are ignored, disagreeing ones count by their mean (0.5 and
-more: good); repeated doc_id rows give one row each; rows without doc_id are left out.
+more: good); a repeated doc_id is one document, its smallest text; rows without doc_id are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from weft.llm.core import cut, keyed
 from weft.llm.graph import HEAVY, lookup
 
-RISK = 0.01
+#: What all rules together may falsely reject of a stratum.
+RISK = 0.04
 DELTA = 0.05
 EXACT = 1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -99,6 +101,7 @@ def log_tail(n: Column, k: Column, risk: float) -> Column:
 
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """stratum and, by rule, the lowest safe cutoff (null: none is safe)."""
+    risk /= len(RULES)
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").groupBy("doc_id").agg(F.avg("quality").alias("quality")).where("quality >= 0.5").select("doc_id")
     counts = stats.join(good, "doc_id", "left_semi").groupBy("stratum").agg(
         F.count("*").alias("n"),
@@ -132,7 +135,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    tests = sum(len(grid) for _, grid in RULES.values())
+    tests, risk = sum(len(grid) for _, grid in RULES.values()), RISK / len(RULES)
     stat = ", ".join(f"CAST({s.replace(' / ', ' AS DOUBLE) / ')} AS {rule}" for rule, (s, _) in RULES.items())
     grid = " UNION ALL ".join(f"SELECT '{rule}' AS rule, {c} AS c, {rule} >= {c} AS hit, stratum FROM g" for rule, (_, cs) in RULES.items() for c in cs)
     hit = " OR ".join(f"coalesce({rule} >= (SELECT min(c) FROM safe WHERE safe.rule = '{rule}' AND safe.stratum = st.stratum), false)" for rule in RULES)
@@ -156,8 +159,8 @@ WITH w AS (
 ), cand AS (
   SELECT stratum, rule, c, count(*) AS n, count(*) FILTER (hit) AS k FROM ({grid}) GROUP BY stratum, rule, c
 ), safe AS (
-  SELECT stratum, rule, c FROM cand WHERE k <= {RISK} * n AND
-    list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))))
+  SELECT stratum, rule, c FROM cand WHERE k <= {risk} * n AND
+    list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk}))))
     <= {DELTA} / ({tests} * (SELECT count(DISTINCT stratum) FROM g))
 ), v AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {hit} AS hit FROM st

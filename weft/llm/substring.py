@@ -5,13 +5,14 @@ sequence also starts anywhere else is removed. Anchors are 15-word runs at word
 remainder modulo 21 lies in a difference cover: of any two equal windows, wherever they start, some
 position of the first 21 is an anchor in both, so equal windows share an anchor. Anchors that occur
 again (sifted by 39 and more bits of hash) give the candidate windows around them; only these are
-hashed in full (64 bits of mixed polynomial over 64-bit word hashes) and matched exactly.
+hashed in full, twice: windows are equal if two independent 64-bit hashes of their words agree, 128
+bits in all, which no set of texts of any size will see by chance.
 
 Both matchings go through rendezvous: about a quarter of the words is sent at 7 bytes each, then
 the windows of repeated passages. Texts are shuffled once, by chunk of documents, and used twice.
 
-Defined results: null and empty texts have no words and nothing is removed; repeated rows of a
-doc_id count as one document and give one row; rows without doc_id are left out; extra columns
+Defined results: null and empty texts have no words and nothing is removed; a repeated
+doc_id is one document, its smallest text; rows without doc_id are left out; extra columns
 are ignored; documents of any length are handled whole, one slice at a time.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import rendezvous as rv
-from weft.llm.core import Words, buffer, keyed, longs, prefix_hash, slices, window_hash
+from weft.llm.core import Words, buffer, keyed, longs, runs, slices, tidied, tidied_group
 
 #: Perfect difference sets: the differences of each give every remainder once. Fixed values.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -48,7 +49,7 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     size = np.diff(words.first)
     position = np.arange(len(words.row)) - words.first[words.row]
     at = np.flatnonzero(marked[position % period] & (position + length <= size[words.row]) & (size[words.row] >= window))
-    return window_hash(prefix_hash(words.hash), at, at + length), words.row[at], position[at]
+    return runs(words.hash, length)[at], words.row[at], position[at]
 
 
 def candidates(words: Words, row: np.ndarray, position: np.ndarray, window: int) -> np.ndarray:
@@ -72,29 +73,28 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, layout: bool = False
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = rv.distinct_rows(pa.Table.from_batches([batch]))
-            doc, (data, offsets) = longs(part.column(0).combine_chunks()), buffer(part.column(1).combine_chunks())
+            doc, (data, offsets) = longs(batch.column(0)), buffer(batch.column(1))
             for low, high in slices(offsets, GATHER_BYTES):
                 got = []
                 for a, b in slices(offsets[low : high + 1]):
                     h, row, position = anchors(Words(data, offsets[low + a : low + b + 1]), window)
                     got.append((h, doc[low + a + row], position))
-                yield rv.batch(list(rv.entries(*(np.concatenate(x) for x in zip(*got, strict=True)), parts, False)))
+                yield rv.batch(list(rv.entries(*(np.concatenate(x) for x in zip(*got, strict=True)), parts)))
 
     def second(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc, position = rv.answered(found)
         wanted, texts, inverse = rv.rows_of(texts, doc)
         data, offsets = buffer(texts)
-        got = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        got = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         for a, b in slices(offsets):
             words, mine = Words(data, offsets[a : b + 1]), (inverse >= a) & (inverse < b)
             at = candidates(words, inverse[mine] - a, position[mine], window)
             row = words.row[at]
-            got.append((window_hash(prefix_hash(words.hash), at, at + window), wanted[a + row], at - words.first[row]))
-        return pa.Table.from_batches([rv.batch(list(rv.entries(*(np.concatenate(x) for x in zip(*got, strict=True)), parts, True)))])
+            got.append((runs(words.hash, window)[at], wanted[a + row], at - words.first[row], runs(words.other(), window)[at]))
+        h, doc, position, other = (np.concatenate(x) for x in zip(*got, strict=True))
+        return pa.Table.from_batches([rv.batch(list(rv.entries(h, doc, position, parts, other)))])
 
     def last(texts: pa.Table, found: pa.Table) -> pa.Table:
-        texts = rv.distinct_rows(texts)
         ids, (data, offsets) = longs(texts.column("doc_id").combine_chunks()), buffer(texts.column("text").combine_chunks())
         doc, position = rv.answered(found)
         row = np.argsort(ids)[np.searchsorted(np.sort(ids), doc)] if len(doc) else doc
@@ -118,9 +118,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, layout: bool = False
     schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     # the same exchange of texts serves both passes
     chunks = docs.withColumn("chunk", rv.chunk_column(parts)).groupBy("chunk")
-    repeated = rv.meet(docs.select("doc_id", "text").mapInArrow(first, rv.SCHEMA), parts, exact=False)
-    windows = chunks.cogroup(repeated.groupBy("chunk")).applyInArrow(second, rv.SCHEMA)
-    return chunks.cogroup(rv.meet(windows, parts, exact=True).groupBy("chunk")).applyInArrow(last, schema)
+    repeated = rv.meet(docs.select("doc_id", "text").mapInArrow(tidied(first), rv.SCHEMA), parts, exact=False)
+    windows = chunks.cogroup(repeated.groupBy("chunk")).applyInArrow(tidied_group(second), rv.SCHEMA)
+    return chunks.cogroup(rv.meet(windows, parts, exact=True).groupBy("chunk")).applyInArrow(tidied_group(last), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,21 +7,23 @@ size, so suffixes are sorted only where sorting has something to decide:
 1. Of any 69 consecutive 32-byte grams the one with the smallest hash is an anchor, so equal
    100-byte strings have an anchor at the same place. Anchors meet by hash, with a 64-bit hash of
    all bytes that a 100-byte string through the anchor can touch (its context, up to 168 bytes).
-2. Anchors of equal contexts need no sorting: all but the first lose every string through them.
+   Hashes only sift here: anchors that meet bring their contexts' bytes.
+2. Contexts whose bytes are equal need no sorting: all but the first lose every string through
+   them. A chunk of documents compares its own and sends each distinct one once.
 3. Where one gram has several contexts, one text of each context goes to the gram's partition.
    There a suffix array of the contexts is built in two stages: suffixes smaller than their
    successors are sorted directly, the others are induced by scanning the buckets of first bytes
    in order; adjacent common prefixes of 100 bytes or more then show the equal strings, and all
    but the earliest are removed.
 4. A gram with more than GROUP contexts (a short boilerplate line in a third of all texts) would
-   be one task's burden; the strings through its anchors are matched by hashes of their 100 bytes
-   instead, each slice of input sending a distinct string once. The result is the same.
+   be one task's burden; the strings through its anchors are matched by 128 bits of two independent
+   hashes of their 100 bytes instead, each chunk sending a distinct string once.
 
 Texts are shuffled once, by chunk of documents, and used twice.
 
-Defined results: null and empty texts have no bytes; fewer than 100 bytes are kept; repeated rows
-of a doc_id count as one document and give one row; rows without doc_id are left out; extra
-columns are ignored.
+Defined results: null and empty texts have no bytes; fewer than 100 bytes are kept; a repeated
+doc_id is one document, its smallest text; rows without doc_id are left out; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import rendezvous as rv
-from weft.llm.core import buffer, keyed, longs, mixed, prefix_hash, slices, window_hash
+from weft.llm.core import ODD, TWO, buffer, keyed, lanes, longs, mixed, slices, stretch_hash, tidied, tidied_group
 
 LENGTH = 100
 GRAM = 32
@@ -43,8 +45,8 @@ GROUP = 2048
 #: Text bytes whose anchors meet before they are sent, and context bytes of one suffix array, about.
 GATHER_BYTES = 16 << 20
 ARRAY_BYTES = 2 << 20
-#: What an answer says of an anchor.
-REMOVE, SORT, HASH = 1, 2, 3
+#: What an answer says of an anchor (bits): its context occurs again, its gram has several contexts, or very many.
+SAME, SORT, HASH = 1, 2, 4
 
 
 def running(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -58,15 +60,20 @@ def running(x: np.ndarray, width: int, of) -> np.ndarray:
 
 
 class Bytes:
-    """Rows of a byte buffer, with hashes of any stretch of a row."""
+    """Rows of a byte buffer, with their anchors."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         base = int(offsets[0])
         self.data, self.at = data[base : int(offsets[-1])], offsets - base
-        self.prefix = prefix_hash(self.data.astype(np.uint64) + np.uint64(1))
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return window_hash(self.prefix, start, end)
+    def grams(self) -> np.ndarray:
+        """32 bits for each gram; enough to choose anchors."""
+        view, n, out = lanes(self.data), len(self.data) - GRAM + 1, np.uint64(0)
+        with np.errstate(over="ignore"):
+            for k in range(0, GRAM, 8):
+                out = out * ODD + view[k : k + n]
+                out ^= out >> np.uint64(29)
+            return (out * ODD >> np.uint64(32)).astype(np.uint32)
 
     def row(self, index: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.at, index, "right") - 1
@@ -77,7 +84,7 @@ class Bytes:
         if n < length:
             return np.zeros(0, np.int64)
         start = np.arange(n - GRAM + 1)
-        gram = (self.hash(start, start + GRAM) >> np.uint64(32)).astype(np.uint32)
+        gram = self.grams()
         left = np.repeat(self.at[1:], np.diff(self.at))[: len(gram)] - start
         gram[left < GRAM] = 0xFFFFFFFF
         least = running(gram, span, np.minimum)
@@ -201,6 +208,34 @@ def sent(parts: int, mark: int, key: np.ndarray, doc: np.ndarray, *columns: np.n
     return [(int(part[a]), mark, rv.pack(doc[a:b], *(c[a:b] for c in columns))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
+def packed(parts: int, mark: int, raw: bytes, key: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows for the partitions of key: doc, tag and place of each text raw[start:end], with the texts."""
+    part, rows = (key % np.uint64(parts)).astype(np.int64), []
+    order = np.lexsort((tag, part))
+    edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+    for x, y in zip(edge[:-1], edge[1:], strict=True):
+        i = order[x:y]
+        head = rv.pack(doc[i], tag[i], place[i].astype(np.uint32), (end - start)[i].astype(np.uint16))
+        text = b"".join(raw[s:e] for s, e in zip(start[i].tolist(), end[i].tolist(), strict=True))
+        rows.append((int(part[i[0]]), mark, len(head).to_bytes(4, "little") + head + rv.zstandard.ZstdCompressor(level=1).compress(text)))
+    return rows
+
+
+def unpacked(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """doc, tag, place and size of the texts of packed(), and the texts; blobs is emptied."""
+    d, tag, place, size = (np.concatenate([x[i] for x in blobs]) for i in range(4))
+    raw = b"".join(rv.zstandard.ZstdDecompressor().decompress(x[4]) for x in blobs)
+    blobs.clear()
+    return d, tag, place.astype(np.int64), size.astype(np.int64), raw
+
+
+def numbered(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A number for each distinct pair."""
+    order, out = np.lexsort((two, one)), np.empty(len(one), np.int64)
+    out[order] = np.cumsum((np.diff(one[order], prepend=~one[order[:1]]) != 0) | (np.diff(two[order], prepend=~two[order[:1]]) != 0))
+    return out
+
+
 def table(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return rv.batch(rows).select(["chunk", "blob"])
 
@@ -212,8 +247,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = rv.distinct_rows(pa.Table.from_batches([batch]))
-            doc, (data, offsets) = longs(part.column(0).combine_chunks()), buffer(part.column(1).combine_chunks())
+            doc, (data, offsets) = longs(batch.column(0)), buffer(batch.column(1))
             for low, high in slices(offsets, GATHER_BYTES):
                 got = []
                 for a, b in slices(offsets[low : high + 1]):
@@ -221,12 +255,12 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     at = own.anchors(length)
                     start, end = own.contexts(at, length)
                     row = own.row(at)
-                    got.append((own.hash(at, at + GRAM), mixed(own.hash(start, end) + (at - start).astype(np.uint64)), doc[low + a + row], at - own.at[row]))
+                    got.append((stretch_hash(own.data, at, at + GRAM), mixed(stretch_hash(own.data, start, end) + (at - start).astype(np.uint64)), doc[low + a + row], at - own.at[row]))
                 gram, context, d, p = (np.concatenate(x) for x in zip(*got, strict=True))
-                gone = later(np.unique(context, return_inverse=True)[1], d, p)
-                rows = addressed(parts, d[gone], p[gone].astype(np.uint32), np.full(int(gone.sum()), REMOVE, np.uint8))
-                keep = ~gone
-                rows += sent(parts, -1, gram[keep], d[keep], (gram[keep] // np.uint64(parts)).astype(np.uint32), context[keep], p[keep].astype(np.uint32))
+                order, new, many = rv.grouped(context, d, p)
+                again, one = order[many], order[new]
+                rows = addressed(parts, d[again], p[again].astype(np.uint32), np.full(len(again), SAME, np.uint8))
+                rows += sent(parts, -1, gram[one], d[one], (gram[one] // np.uint64(parts)).astype(np.uint32), context[one], p[one].astype(np.uint32))
                 yield rv.batch(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,85 +277,97 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         d, gram, context, p = d[order], gram[order], context[order], p[order]
         new_gram = np.diff(gram.astype(np.int64), prepend=-1) != 0
         new = new_gram | (np.diff(context, prepend=~context[:1]) != 0)
-        gone = ~new & ((d != d[np.flatnonzero(new)][np.cumsum(new) - 1]) | (p != p[np.flatnonzero(new)][np.cumsum(new) - 1]))
+        size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
         many = np.bincount(np.cumsum(new_gram) - 1, new)[np.cumsum(new_gram) - 1]
-        kind = np.where(gone, REMOVE, np.where(many > GROUP, HASH, SORT)).astype(np.uint8)
-        tell = gone | (new & (many > 1))
-        yield table(addressed(parts, d[tell], p[tell], kind[tell]))
+        kind = np.where(size > 1, SAME, 0) | np.where(new & (many > 1), np.where(many > GROUP, HASH, SORT), 0)
+        yield table(addressed(parts, d[kind > 0], p[kind > 0], kind[kind > 0].astype(np.uint8)))
 
     def second(texts: pa.Table, found: pa.Table) -> pa.Table:
         got = [rv.unpack(x.as_py(), np.uint32, np.uint8) for x in found.column("blob")]
         if not got:
             return pa.Table.from_batches([rv.batch([])])
         d, p, kind = (np.concatenate(x) for x in zip(*got, strict=True))
-        p = p.astype(np.int64)
+        order = np.lexsort((p, d))
+        d, p, kind = d[order], p[order].astype(np.int64), kind[order]
+        one = np.flatnonzero((np.diff(d, prepend=d[0] - 1) != 0) | (np.diff(p, prepend=-1) != 0))
+        d, p, kind = d[one], p[one], np.bitwise_or.reduceat(kind, one)
         wanted, texts, inverse = rv.rows_of(texts, d)
         data, offsets = buffer(texts)
-        rows, hashes = [], []
+        rows, hashes, seen = [], [], set()
         for a, b in slices(offsets):
             own, mine = Bytes(data, offsets[a : b + 1]), np.flatnonzero((inverse >= a) & (inverse < b))
             at = own.at[inverse[mine] - a] + p[mine]
             start, end = own.contexts(at, length)
             base = own.at[inverse[mine] - a]
-            sure = kind[mine] == REMOVE
-            rows += addressed(parts, d[mine[sure]], (start - base)[sure].astype(np.uint32), (end - base)[sure].astype(np.uint32))
-            sort = np.flatnonzero(kind[mine] == SORT)
-            raw, gram = own.data.tobytes(), own.hash(at[sort], at[sort] + GRAM)
-            part = (gram % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((gram, part))
-            edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-            for x, y in zip(edge[:-1], edge[1:], strict=True):
-                i = sort[order[x:y]]
-                text = np.frombuffer(b"".join(raw[s:e] for s, e in zip(start[i].tolist(), end[i].tolist(), strict=True)), np.uint8)
-                head = rv.pack(d[mine[i]], gram[order[x:y]], (start - base)[i].astype(np.uint32), (end - start)[i].astype(np.uint16))
-                rows.append((int(part[order[x]]), -2, len(head).to_bytes(4, "little") + head + rv.zstandard.ZstdCompressor(level=1).compress(text.tobytes())))
-            hot = np.flatnonzero(kind[mine] == HASH)
+            raw = own.data.tobytes()
+            same, later_ones, first_ones = np.flatnonzero(kind[mine] & SAME), [], []
+            for i, o, s, e in zip(same.tolist(), (at - start)[same].tolist(), start[same].tolist(), end[same].tolist(), strict=True):
+                context = (o, raw[s:e])
+                (later_ones if context in seen else first_ones).append(i)
+                seen.add(context)
+            gone = np.array(later_ones, np.int64)
+            rows += addressed(parts, d[mine[gone]], (start - base)[gone].astype(np.uint32), (end - base)[gone].astype(np.uint32))
+            i = np.array(first_ones, np.int64)
+            rows += packed(parts, -3, raw, stretch_hash(own.data, start[i], end[i]), start[i], end[i], d[mine[i]], (at - start)[i].astype(np.uint64), (start - base)[i])
+            i = np.flatnonzero(kind[mine] & SORT)
+            gram = stretch_hash(own.data, at[i], at[i] + GRAM)
+            rows += packed(parts, -2, raw, gram, start[i], end[i], d[mine[i]], gram, (start - base)[i])
+            hot = np.flatnonzero(kind[mine] & HASH)
             mark = np.zeros(len(own.data) + 1, np.int64)
             np.add.at(mark, start[hot], 1)
             np.add.at(mark, end[hot] - length + 1, -1)
             at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
             row = own.row(at)
-            hashes.append((own.hash(at, at + length), wanted[a + row], at - own.at[row]))
-        h, hd, hp = (np.concatenate(x) for x in zip(*hashes, strict=True))
-        gone = later(np.unique(h, return_inverse=True)[1], hd, hp)
+            hashes.append((stretch_hash(own.data, at, at + length), stretch_hash(own.data, at, at + length, TWO), wanted[a + row], at - own.at[row]))
+        h, other, hd, hp = (np.concatenate(x) for x in zip(*hashes, strict=True))
+        gone = later(numbered(h, other), hd, hp)
         sd, s, e = spans(hd[gone], hp[gone], length)
         rows += addressed(parts, sd, s.astype(np.uint32), e.astype(np.uint32))
-        rows += sent(parts, -1, h[~gone], hd[~gone], h[~gone], hp[~gone].astype(np.uint32))
+        rows += sent(parts, -1, h[~gone], hd[~gone], h[~gone], other[~gone], hp[~gone].astype(np.uint32))
         return pa.Table.from_batches([rv.batch(rows)])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, sorted_ = [], []
+        hashed, sorted_, same = [], [], []
         for b in batches:
             kind = b.column(1).to_numpy()
-            hashed += [rv.unpack(x.as_py(), np.uint64, np.uint32) for x in b.column(2).filter(pa.array(kind == -1))]
-            for x in b.column(2).filter(pa.array(kind == -2)):
-                raw = x.as_py()
-                size = int.from_bytes(raw[:4], "little")
-                sorted_.append((*rv.unpack(raw[4 : 4 + size], np.uint64, np.uint32, np.uint16), raw[4 + size :]))
+            hashed += [rv.unpack(x.as_py(), np.uint64, np.uint64, np.uint32) for x in b.column(2).filter(pa.array(kind == -1))]
+            for mark, into in ((-2, sorted_), (-3, same)):
+                for x in b.column(2).filter(pa.array(kind == mark)):
+                    blob = x.as_py()
+                    size = int.from_bytes(blob[:4], "little")
+                    into.append((*rv.unpack(blob[4 : 4 + size], np.uint64, np.uint32, np.uint16), blob[4 + size :]))
             yield b.filter(pa.array(kind >= 0)).select(["chunk", "blob"])
         if hashed:
-            d, h, p = (np.concatenate(x) for x in zip(*hashed, strict=True))
-            gone = later(np.unique(h, return_inverse=True)[1], d, p.astype(np.int64))
+            d, h, other, p = (np.concatenate(x) for x in zip(*hashed, strict=True))
+            gone = later(numbered(h, other), d, p.astype(np.int64))
             d, s, e = spans(d[gone], p[gone].astype(np.int64), length)
             yield table(addressed(parts, d, s.astype(np.uint32), e.astype(np.uint32)))
+        if same:
+            d, at, start, size, raw = unpacked(same)
+            base, seen, gone = np.concatenate([[0], np.cumsum(size)]), set(), []
+            order = np.lexsort((start, d))
+            for i, o, s, e in zip(order.tolist(), at[order].tolist(), base[order].tolist(), base[order + 1].tolist(), strict=True):
+                context = (o, raw[s:e])
+                if context in seen:
+                    gone.append(i)
+                seen.add(context)
+            gone = np.array(gone, np.int64)
+            yield table(addressed(parts, d[gone], start[gone].astype(np.uint32), (start + size)[gone].astype(np.uint32)))
         if sorted_:
-            d, gram, start, size = (np.concatenate([x[i] for x in sorted_]) for i in range(4))
-            raw = b"".join(rv.zstandard.ZstdDecompressor().decompress(x[4]) for x in sorted_)
-            sorted_.clear()
-            base = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+            d, gram, start, size, raw = unpacked(sorted_)
+            base = np.concatenate([[0], np.cumsum(size)])
             order = np.argsort(gram, kind="stable")
             # whole grams, about ARRAY_BYTES of contexts at a time
             ends = np.flatnonzero(np.append(np.diff(gram[order]) != 0, True)) + 1
-            upto = np.cumsum(size[order].astype(np.int64))[ends - 1]
+            upto = np.cumsum(size[order])[ends - 1]
             cuts = np.unique(np.append(ends[np.searchsorted(upto, np.arange(ARRAY_BYTES, upto[-1], ARRAY_BYTES), "right").clip(max=len(ends) - 1)], ends[-1]))
             for x, y in zip(np.append(0, cuts[:-1]), cuts, strict=True):
                 i = order[x:y]
-                gd, gp = equal_strings([raw[base[k] : base[k + 1]] for k in i.tolist()], d[i], start[i].astype(np.int64), length)
+                gd, gp = equal_strings([raw[base[k] : base[k + 1]] for k in i.tolist()], d[i], start[i], length)
                 gd, s, e = spans(gd, gp, length)
                 yield table(addressed(parts, gd, s.astype(np.uint32), e.astype(np.uint32)))
 
     def last(texts: pa.Table, found: pa.Table) -> pa.Table:
-        texts = rv.distinct_rows(texts)
         ids, (data, offsets) = longs(texts.column("doc_id").combine_chunks()), buffer(texts.column("text").combine_chunks())
         got = [rv.unpack(x.as_py(), np.uint32, np.uint32) for x in found.column("blob")]
         d, s, e = (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
@@ -348,10 +394,10 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # the same exchange of texts serves both passes
     chunks = docs.withColumn("chunk", rv.chunk_column(parts)).groupBy("chunk")
-    met = docs.mapInArrow(first, rv.SCHEMA).repartitionById(parts, "key").mapInArrow(meet, "chunk int, blob binary")
-    opened = chunks.cogroup(met.groupBy("chunk")).applyInArrow(second, rv.SCHEMA)
-    decided = opened.repartitionById(parts, "key").mapInArrow(decide, "chunk int, blob binary")
-    return chunks.cogroup(decided.groupBy("chunk")).applyInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    met = docs.mapInArrow(tidied(first), rv.SCHEMA).repartitionById(parts, "key").mapInArrow(tidied(meet), "chunk int, blob binary")
+    opened = chunks.cogroup(met.groupBy("chunk")).applyInArrow(tidied_group(second), rv.SCHEMA)
+    decided = opened.repartitionById(parts, "key").mapInArrow(tidied(decide), "chunk int, blob binary")
+    return chunks.cogroup(decided.groupBy("chunk")).applyInArrow(tidied_group(last), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
