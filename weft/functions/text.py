@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -128,8 +130,14 @@ def redacted_map(values: Column) -> Column:
 
 
 def preview(text: Column, limit: int = 240) -> Column:
-    one = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(one) > limit, F.concat(F.substring(one, 1, limit - 1), F.lit("…"))).otherwise(one)
+    """On one line, cut after limit characters."""
+    one = F.regexp_replace(F.regexp_replace(text, r"[\r\n\t]+", " "), r"^\s+|\s+$", "")
+    return F.when(F.length(one) > limit, F.concat(F.substring(one, 1, limit), F.lit("…"))).otherwise(one)
+
+
+def variables(template: str) -> list[str]:
+    """Names in single or double braces."""
+    return sorted(set(re.findall(r"\{\s*([A-Za-z_]\w*)\s*\}", template)))
 
 
 def rendered(template: str, values: Mapping[str, Column]) -> Column:
@@ -159,8 +167,78 @@ def match_score(name: Column, term: Column) -> Column:
     return F.when(n == t, 10.0).when(F.startswith(n, t), 6.0).when(F.contains(n, t), 3.0).otherwise(0.0)
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition makes of characters, as far as it is ASCII: those that become one character, and several."""
+    one, more = {}, {}
+    for c in map(chr, (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0x2460, 0x24EB), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))):
+        form = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        (one if len(form) == 1 else more)[c] = form
+    return one, {c: form for c, form in more.items() if form}
+
+
+_ONE, _MORE = _folds()
+
+
+def ascii_fold(text: Column) -> Column:
+    """Letters without their marks, and other characters as ASCII where they have such a form; the rest goes."""
+    text = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    several = F.create_map(*(F.lit(x) for pair in _MORE.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    text = F.when(text.rlike("[^\\x00-\\x7F]"), spelled).otherwise(text)
+    return F.regexp_replace(text, "[^\\x00-\\x7F]", "")
+
+
 def slug(text: Column, limit: int = 50) -> Column:
-    """ASCII-only slug; accented letters that have no ASCII form are underscores."""
-    tidy = F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, limit)
+    """ASCII-only slug of at most limit characters; a text without any ASCII form is underscores."""
+    given = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    plain = F.coalesce(F.nullif(ascii_fold(given), F.lit("")), given)
+    tidy = F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, limit)
     tidy = F.trim(F.regexp_replace(F.regexp_replace(tidy, "[^a-zA-Z0-9._-]+", "_"), "_+", "_"), F.lit("._"))
     return F.when(tidy == "", "query").otherwise(tidy)
+
+
+# Headings of a prompt that an answer should not repeat, and signs of a plan to use tools.
+ECHOES = ("relevant concept clusters", "key relations", "concept clusters", "from cluster", "(cluster", "most relevant concepts", "relevant concepts")
+MONOLOGUE = ("tool_name", "i will use the tools")
+
+
+def echoes_prompt(sentence: Column) -> Column:
+    low = F.lower(sentence)
+    known = F.lit(False)
+    for heading in ECHOES:
+        known = known | F.contains(low, F.lit(heading))
+    return known | (F.contains(low, F.lit("cluster")) & low.rlike(r"\d"))
+
+
+def without_echo(text: Column) -> Column:
+    """An answer without the sentences that repeat the prompt's headings or cite a numbered cluster; lines and paragraphs that empty go."""
+    sentence = lambda line: F.filter(F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"(?<!\d[.!?])(?<=[.!?])\s+"), lambda x: (x != "") & ~echoes_prompt(x))
+    line = lambda part: F.filter(F.transform(F.split(part, r"\r\n|\n|\r"), lambda x: F.array_join(sentence(x), " ")), lambda x: x != "")
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.array_join(line(p), "\n")), lambda p: p != "")
+    return F.regexp_replace(F.array_join(paragraphs, "\n\n"), r"^\s+|\s+$", "")
+
+
+def presentable(text: Column) -> Column:
+    """without_echo(), or nothing where the text is a plan to use tools."""
+    low = F.lower(text)
+    return F.when(F.contains(low, F.lit(MONOLOGUE[0])) | F.contains(low, F.lit(MONOLOGUE[1])), "").otherwise(without_echo(text))
+
+
+def corrected(query: Column, answer: Column) -> Column:
+    """query words (array) with their only word that answer lacks, of five letters and more, replaced by the one answer word at
+    edit distance 1; null where that cannot be done.
+    """
+    missing = F.filter(query, lambda w: ~F.array_contains(answer, w))
+    word = F.get(missing, F.lit(0))
+    near = F.filter(F.array_distinct(answer), lambda a: bounded_distance(word, a) == 1)
+    fits = (F.size(missing) == 1) & (F.length(word) >= 5) & (F.size(near) == 1)
+    return F.when(fits, F.transform(query, lambda w: F.when(w == word, F.get(near, F.lit(0))).otherwise(w)))
+
+
+def rendered_pattern(ids: Column, edges: Column, base: str) -> Column:
+    """A graph pattern of the concepts ids (array): ?c0, ?c1 ... and what each is, then the edges (struct src, pred, tgt) between them."""
+    at = lambda x: F.concat(F.lit("?c"), F.array_position(ids, x) - 1)
+    kinds = F.transform(ids, lambda x, i: F.concat(F.lit("?c"), i, F.lit(" a "), term_iri(x, base), F.lit(" .")))
+    known = F.filter(edges, lambda e: F.array_contains(ids, e["src"]) & F.array_contains(ids, e["tgt"]))
+    links = F.transform(known, lambda e: F.concat(at(e["src"]), F.lit(" <"), e["pred"], F.lit("> "), at(e["tgt"]), F.lit(" .")))
+    return F.array_join(F.concat(kinds, links), "\n")

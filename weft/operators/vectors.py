@@ -8,6 +8,7 @@ only the best k of each query leave the task, so no pair is ever a row.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weft.lineage import cut
+
 EPSILON = 1e-9
 BLOCK_ROWS = 2048
 
@@ -70,46 +73,111 @@ def upserted(old: DataFrame, new: DataFrame, dimension: int) -> DataFrame:
     return old.join(new.select("id"), "id", "left_anti").unionByName(checked)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = x.reshape(len(flat), -1)
-    return x / (np.sqrt((x**2).sum(axis=1, keepdims=True)) + EPSILON)
-
-
-def best_matches(left: DataFrame, right: DataFrame, k: int, least: float | None = None, upper: bool = False) -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, k: int | None, least: float | None = None, upper: bool = False) -> DataFrame:
     """(left, right, score, rank): the k best right ids of each left id; ties by right id.
 
-    upper: only pairs with right > left, for a table against itself.
+    upper: only pairs with right > left, for a table against itself. Blocks are then ranges of ids, and a block meets only those
+    that do not lie below it, which is half the work.
+
+    Each side is dealt into blocks of BLOCK_ROWS once; a block of the left side is sent to each block of the right side that
+    it meets as one packed row of 4-byte numbers, so what is shuffled is the blocks' bytes, and a task holds two blocks and a best-k list.
     """
-    blocks = lambda df: max(1, math.ceil(df.count() / BLOCK_ROWS))
-    n_left, n_right = blocks(left), blocks(right)
-    place = lambda df, n: df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    a = place(left, n_left).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).select("id", "vector", F.col("own").alias("i"), F.col("other").alias("j"))
-    b = place(right, n_right).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).select("id", "vector", F.col("other").alias("i"), F.col("own").alias("j"))
-
-    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["left", "right", "score"])
-        if not x.num_rows or not y.num_rows:
-            return none
-        ids_x, ids_y = x.column("id").to_numpy(), y.column("id").to_numpy()
-        order = np.argsort(ids_y)
-        ids_y, score = ids_y[order], _matrix(x.column("vector")) @ _matrix(y.column("vector"))[order].T
-        fit = np.ones(score.shape, bool) if least is None else score >= least
-        if upper:
-            fit &= ids_y[None, :] > ids_x[:, None]
-        score = np.where(fit, score, -np.inf)
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(ids_x)), best.shape[1])
-        found = score[row, best.ravel()]
-        keep = found > -np.inf
-        return pa.table([pa.array(ids_x[row][keep]), pa.array(ids_y[best.ravel()][keep]), pa.array(found[keep])], ["left", "right", "score"])
-
-    met = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(meet, "left long, right long, score double")
+    blocks = lambda n: max(1, math.ceil(n / BLOCK_ROWS))
+    n_left, n_right = blocks(left.count()), blocks(right.count())
+    by_hash = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    own_left, own_right = by_hash(n_left), by_hash(n_right)
+    if upper and max(n_left, n_right) > 1:
+        n_left = n_right = max(n_left, n_right)
+        edges = right.select(F.percentile_approx("id", [i / n_right for i in range(1, n_right)], 10_000)).first()[0]
+        own_left = own_right = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in edges)), lambda e: e < F.col("id")))
+    pack = lambda df, own: df.select("id", "vector", own.cast("int").alias("own")).groupBy("own").applyInArrow(_packed, "own int, ids binary, rows binary")
+    first = F.col("own") if upper else F.lit(0)
+    a = pack(left, own_left).select(F.col("own").alias("i"), F.explode(F.sequence(first, F.lit(n_right - 1))).alias("j"), F.col("ids").alias("ids_x"), F.col("rows").alias("rows_x"))
+    b = pack(right, own_right).select(F.col("own").alias("j"), F.col("ids").alias("ids_y"), F.col("rows").alias("rows_y"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ix, rx, iy, ry in zip(*(batch.column(c) for c in range(4)), strict=True):
+                ids_x, ids_y = np.frombuffer(ix.as_py(), np.int64), np.frombuffer(iy.as_py(), np.int64)
+                yield _met(ids_x, _unit(rx.as_py(), len(ids_x)), ids_y, _unit(ry.as_py(), len(ids_y)), k, least, upper)
+
+    met = a.join(b.hint("merge"), "j").select("ids_x", "rows_x", "ids_y", "rows_y").mapInArrow(meet, "left long, right long, score double")
+    if k is None:
+        return met
     rank = F.row_number().over(W.partitionBy("left").orderBy(F.desc("score"), "right"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _packed(rows: pa.Table) -> pa.Table:
+    """A block's ids in order and its vectors, as bytes."""
+    ids = rows.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    flat = rows.column("vector").combine_chunks()
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(flat), -1)[order]
+    return pa.table([pa.array([rows.column("own")[0].as_py()], pa.int32()), pa.array([ids[order].astype(np.int64).tobytes()]), pa.array([x.tobytes()])], ["own", "ids", "rows"])
+
+
+def _unit(raw: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.float32).astype(np.float64).reshape(n, -1)
+    return x / (np.sqrt((x**2).sum(axis=1, keepdims=True)) + EPSILON)
+
+
+def _met(ids_x: np.ndarray, x: np.ndarray, ids_y: np.ndarray, y: np.ndarray, k: int | None, least: float | None, upper: bool) -> pa.RecordBatch:
+    """The k best (None: all) of y for each of x; ids_y in order, so ties go to the smaller."""
+    score = x @ y.T
+    fit = np.ones(score.shape, bool) if least is None else score >= least
+    if upper:
+        fit &= ids_y[None, :] > ids_x[:, None]
+    score = np.where(fit, score, -np.inf)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    row = np.repeat(np.arange(len(ids_x)), best.shape[1])
+    found = score[row, best.ravel()]
+    keep = found > -np.inf
+    return pa.record_batch([pa.array(ids_x[row][keep]), pa.array(ids_y[best.ravel()][keep]), pa.array(found[keep])], ["left", "right", "score"])
+
+
+def pair_scores(left: DataFrame, right: DataFrame, least: float | None = None, upper: bool = False) -> DataFrame:
+    """(left, right, score) of all pairs, which are the result; in blocks, as best_matches()."""
+    return best_matches(left, right, None, least, upper)
+
+
+def fused_search(vectors: DataFrame, queries: DataFrame, k: int, how: str = "max") -> DataFrame:
+    """The k best (id, score) by the fused score of any number of queries (id, vector and, if weighted, weight).
+
+    Scores are cosines, so their sum, mean and weighted mean are the scores of one vector, the sum of the unit queries; it is all
+    that reaches the driver. The maximum is taken over blocks.
+    """
+    if k < 0:
+        raise ValueError("k must not be negative")
+    if how not in ("mean", "sum", "weighted"):
+        best = best_matches(vectors.select("id", "vector"), queries.select("id", "vector"), 1)
+        return best.select(F.col("left").alias("id"), "score").orderBy(F.desc("score"), "id").limit(k)
+    weight = F.col("weight").cast("double") if how == "weighted" and "weight" in queries.columns else F.lit(1.0)
+    unit = F.transform("vector", lambda x: x.cast("double") / (norm(F.col("vector")) + EPSILON))
+    parts = queries.select(weight.alias("w"), F.posexplode(unit).alias("i", "x"))
+    sums = parts.groupBy("i").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.sum("w").alias("w"), F.count("*").alias("n")).orderBy("i").collect()
+    scale = {"sum": 1.0, "mean": 1.0 / sums[0].n, "weighted": 1.0 / (sums[0].w + EPSILON)}[how] if sums else 0.0
+    whole = literal([r.x * scale for r in sums])
+    score = dot(F.col("vector"), whole) / (norm(F.col("vector")) + EPSILON)
+    return vectors.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def indexed(old: DataFrame | None, new: DataFrame, dimension: int) -> DataFrame:
+    """(id, vector, position) after an upsert: known ids keep their positions, new ones follow in the order of id."""
+    if old is None:
+        return positions(new.select("id", "vector"), [F.col("id")], "position")
+    kept = upserted(old.select("id", "vector"), new.select("id", "vector"), dimension).join(old.select("id", "position"), "id", "left")
+    fresh = positions(kept.where("position IS NULL").select("id", "vector"), [F.col("id")], "position")
+    last = old.agg(F.coalesce(F.max("position"), F.lit(0)).alias("last"))
+    fresh = fresh.crossJoin(F.broadcast(last)).select("id", "vector", (F.col("position") + F.col("last")).alias("position"))  # one row: a constant
+    return kept.where("position IS NOT NULL").unionByName(fresh)
+
+
+def missing(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """Ids that have no vector yet."""
+    return ids.select("id").distinct().join(vectors.where("vector IS NOT NULL").select("id"), "id", "left_anti")
+
+
 def best_pairs(left: DataFrame, right: DataFrame, k: int, least: float | None = None, upper: bool = False) -> DataFrame:
     """The k best pairs overall: they are among the k best of their left ids."""
     return best_matches(left, right, k, least, upper).select("left", "right", "score").orderBy(F.desc("score"), "left", "right").limit(k)
@@ -129,16 +197,41 @@ def ngd(fx: Column, fy: Column, fxy: Column, n: Column, least: int = 1) -> Colum
     return F.when(few, 1.0).otherwise(F.coalesce(clamped(raw), F.lit(1.0)))
 
 
+def corpus_distances(words: DataFrame, asked: DataFrame, total: int, least: int = 1) -> DataFrame:
+    """(a, b, distance) of asked terms (term) with every term that stands in a document with them; words: distinct (doc_id, term).
+
+    Counts of single terms are made once. A document's asked terms are gathered (they are as few as asked) and meet its words by the
+    document, so work grows with words times asked terms, not with pairs of words.
+    """
+    seen = cut(words, "words")
+    counts = cut(seen.groupBy("term").agg(F.count("*").alias("n")), "counts")
+    mine = seen.join(F.broadcast(asked.select("term")), "term").groupBy("doc_id").agg(F.collect_set("term").alias("mine"))  # asked: the caller's query set
+    pairs = seen.join(mine, "doc_id").select(F.explode("mine").alias("a"), F.col("term").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    of = lambda c: counts.select(F.col("term").alias(c), F.col("n").alias(f"n_{c}"))
+    rows = pairs.join(of("b"), "b").join(of("a"), "a")
+    return rows.select("a", "b", ngd(F.col("n_a"), F.col("n_b"), F.col("n"), F.lit(total), least).alias("distance"))
+
+
 def hybrid(cos: Column, corpus: Column, weight: float) -> Column:
     return cos * (1 - weight) + corpus * weight
 
 
+def positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their position, from 1, in an order over all of them, without bringing them to one task: rows are dealt by ranges of the
+    order, numbered in each, and the sizes of the ranges before are added (one number for each range).
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    within = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return within.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).drop("_part", "_at", "_before")
+
+
 def ranked(pairs: DataFrame) -> DataFrame:
     """Three positions of each pair (seq, cosine, corpus, hybrid); ties keep the order of the ranking before."""
-    one = F.row_number().over(W.orderBy(F.desc("cosine"), "seq"))
-    two = F.row_number().over(W.orderBy(F.desc("corpus"), "cosine_rank"))
-    three = F.row_number().over(W.orderBy(F.desc("hybrid"), "corpus_rank"))
-    return pairs.withColumn("cosine_rank", one).withColumn("corpus_rank", two).withColumn("hybrid_rank", three)
+    rows = positions(pairs, [F.desc("cosine"), F.col("seq")], "cosine_rank")
+    rows = positions(rows, [F.desc("corpus"), F.col("cosine_rank")], "corpus_rank")
+    return positions(rows, [F.desc("hybrid"), F.col("corpus_rank")], "hybrid_rank")
 
 
 def correlation(x: str, y: str) -> Column:

@@ -12,21 +12,6 @@ from weft.sources import readers, writers
 from weft.streaming import online as O
 
 
-def updates(s, d):
-    return V.table(s, d, "events").where("event_id < 400").select(
-        F.concat(F.lit("u"), F.col("user_id") % 40).alias("source"), F.concat(F.lit("u"), (F.col("user_id") * 7 + F.col("event_id")) % 40).alias("target"),
-        F.col("event_type").alias("relation"), F.lit(2.0).alias("score"), F.least(F.col("value") / 5, F.lit(10.0)).alias("confidence"),
-    )
-
-
-def fixed_updates(s):
-    return s.sql("SELECT * FROM VALUES ('root', 'new', 'yes', 2D, 9D), ('leaf', 'root', 'yes', 2D, 9D), ('root', 'middle', 'yes', 2D, 5D), ('x', 'x', 'yes', 2D, CAST(NULL AS DOUBLE)), ('far', 'away', 'yes', 2D, CAST(NULL AS DOUBLE)) AS t(source, target, relation, score, confidence)")
-
-
-def fixed_edges(s):
-    return s.sql("SELECT * FROM VALUES ('root', 'middle'), ('middle', 'leaf') AS t(src, tgt)")
-
-
 def streamed_windows(s, d):
     """The events as a stream, through a watermarked window to a table."""
     name = f"windows_{uuid.uuid4().hex}"
@@ -50,12 +35,6 @@ def runs(s, d):
 
 
 QUERIES = {
-    "X1_online_fixed": (
-        lambda s, d: O.refine(fixed_edges(s), fixed_updates(s)).select("source", "target", "lane"),
-        "SELECT * FROM (VALUES ('root', 'new', 'applied'), ('leaf', 'root', 'CYCLE'), ('root', 'middle', 'LOW_CONFIDENCE'), ('x', 'x', 'CYCLE'), ('far', 'away', 'applied')) AS t(source, target, lane)",
-    ),
-    "X1_online_refine": (lambda s, d: O.refine(fixed_edges(s), updates(s, d)), None),
-    "X6_deferred_lanes": (lambda s, d: O.refine(fixed_edges(s), updates(s, d)).where("lane <> 'applied'").groupBy("lane").agg(F.count("*").alias("n")), None),
     "X2_stream_windows": (
         streamed_windows,
         "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",

@@ -3,192 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from weft.functions import text as T
-from weft.operators import graph as G
 from weft.operators import learning as L
-from weft.operators import tables as B
 from weft.plans import views as V
-from weft.plans.catalog_graph import CLOSED, GEO, GEO_EDGES, geo, geo_edges
-from weft.plans.catalog_text import CACHE, PATHS, cache, conversations, documents, events, paths, thoughts
-
-NAMES = "(SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region UNION ALL SELECT 200 + n_nationkey, lower(n_name) FROM nation WHERE n_nationkey < 5)"
-
-
-def keyed_names(s, d):
-    nations = V.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    regions = V.table(s, d, "region").select((F.col("r_regionkey") + 100).cast("long"), "r_name")
-    lower = V.table(s, d, "nation").where("n_nationkey < 5").select((F.col("n_nationkey") + 200).cast("long"), F.lower("n_name"))
-    return nations.union(regions).union(lower)
-
-
-def signatures(s, d, low, high):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), low, high)
-    return documents(s, d).where("lang = 'en' AND doc_id < 400").select("doc_id", T.shingles(words).alias("sh"))
-
-
-def answer_matches(s, d):
-    """Questions against answers by an equi-join on shingles, so only pairs that share one meet."""
-    q = signatures(s, d, 5, 30).select(F.col("doc_id").alias("q"), F.size("sh").alias("n"), F.explode("sh").alias("g")).where(F.col("n") >= T.SHINGLES)
-    a = signatures(s, d, 1, 60).select(F.col("doc_id").alias("a"), F.explode("sh").alias("g"))
-    scored = q.join(a, "g").groupBy("q", "a").agg((F.count("*") / F.first("n")).alias("score"))
-    ranked = scored.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "a"))).withColumn("second", F.coalesce(F.lead("score").over(W.partitionBy("q").orderBy(F.desc("score"), "a")), F.lit(0.0)))
-    return ranked.where((F.col("r") == 1) & (F.col("score") >= T.OVERLAP) & (F.col("score") - F.col("second") >= T.MARGIN)).select("q", "a", F.round("score", 6).alias("score"))
-
-
-GRAMS = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
-MATCHES = f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en' AND doc_id < 400),
-q0 AS (SELECT doc_id AS q, {GRAMS} AS sh FROM (SELECT doc_id, w[5:34] AS w FROM d)), q AS (SELECT q, len(sh) AS n, unnest(sh) AS g FROM q0 WHERE len(sh) >= 4), a AS (SELECT doc_id AS a, unnest({GRAMS}) AS g FROM (SELECT doc_id, w[1:60] AS w FROM d)),
-s AS (SELECT q, a, count(*) / max(n) AS score FROM q JOIN a USING (g) GROUP BY q, a), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, a) AS r, coalesce(lead(score) OVER (PARTITION BY q ORDER BY score DESC, a), 0) AS second FROM s)
-SELECT q, a, round(score, 6) AS score FROM r WHERE r = 1 AND score >= 0.75 AND score - second >= 0.15"""
-
-
-def consulted(s, d):
-    """Users' last event through three caches: by user, by pattern, else the store."""
-    last = B.first_per(events(s, d), ["user_id"], [F.desc("event_id")]).select("user_id", "event_type")
-    hot = cache(s, d).where("tier = 'click' AND frequency > 14").select(F.col("key").alias("user_id"), F.lit("hot").alias("hot"))
-    short = paths(s, d).where("id % 5 = 0").select(F.col("id").alias("user_id"), F.lit("short").alias("short"))
-    return last.join(hot, "user_id", "left").join(short, "user_id", "left").select("user_id", F.coalesce("hot", "short", F.lit("store")).alias("tier"))
-
+from weft.plans.catalog_graph import GEO, geo
+from weft.plans.catalog_text import documents, events
 
 QUERIES = {
-    "J3_copy_metadata": (
-        lambda s, d: geo_edges(s, d).where("src LIKE 'n%'").join(V.table(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), "n_name"), "src", "left").select("src", "tgt", "n_name"),
-        f"SELECT src, tgt, n_name FROM ({GEO_EDGES}) LEFT JOIN nation ON src = 'n' || n_nationkey WHERE src LIKE 'n%'",
-    ),
-    "J4_merge_metadata": (
-        lambda s, d: V.table(s, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("v")).union(V.table(s, d, "supplier").select("s_nationkey", F.concat(F.lit("s"), F.col("s_suppkey") % 3))).groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias("all")),
-        "SELECT k, string_agg(v, ',' ORDER BY v) AS \"all\" FROM (SELECT c_nationkey AS k, c_mktsegment AS v FROM customer UNION SELECT s_nationkey, 's' || (s_suppkey % 3) FROM supplier) GROUP BY k",
-    ),
-    "J5_resolve_keys": (
-        lambda s, d: B.first_per(V.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("key")).join(keyed_names(s, d).select("id", F.col("name").alias("key"), F.lit(0).alias("rank")).union(keyed_names(s, d).select("id", F.upper("name"), F.lit(1))), "key"), ["n_nationkey"], ["rank", F.desc("id")]).select("n_nationkey", "id"),
-        f"SELECT n_nationkey, id FROM (SELECT n_nationkey, id, row_number() OVER (PARTITION BY n_nationkey ORDER BY rank, id DESC) AS r FROM nation JOIN (SELECT id, name, 0 AS rank FROM {NAMES} UNION ALL SELECT id, upper(name), 1 FROM {NAMES}) x ON x.name = n_name) WHERE r = 1",
-    ),
-    "J9_path_edges": (
-        lambda s, d: G.induced(geo_edges(s, d), geo_edges(s, d).where("tgt IN ('n1', 'n2', 'r1')").select(F.col("src").alias("id")).union(s.sql("SELECT * FROM VALUES ('n1'), ('n2'), ('r1')"))).orderBy("src", "tgt").limit(50),
-        f"WITH e AS ({GEO_EDGES}), k AS (SELECT src AS id FROM e WHERE tgt IN ('n1', 'n2', 'r1') UNION SELECT * FROM (VALUES ('n1'), ('n2'), ('r1'))) SELECT src, tgt FROM e WHERE src IN (SELECT id FROM k) AND tgt IN (SELECT id FROM k) ORDER BY src, tgt LIMIT 50",
-    ),
-    "J11_without_schema": (
-        lambda s, d: geo(s, d).select("p").distinct().join(s.sql("SELECT 'broader' AS p"), "p", "left_anti"),
-        f"SELECT DISTINCT p FROM {GEO} WHERE p <> 'broader'",
-    ),
-    "J12_resolve_endpoints": (
-        lambda s, d: V.table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey") + 50).alias("id")).join(geo_edges(s, d).select(F.col("src").alias("id"), F.lit(True).alias("known")).distinct(), "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known")),
-        f"SELECT 's' || (s_suppkey + 50) AS id, 's' || (s_suppkey + 50) IN (SELECT src FROM ({GEO_EDGES})) AS known FROM supplier",
-    ),
     "J15_optional": (
         lambda s, d: V.table(s, d, "pages").select("page_id").join(V.table(s, d, "labels").select(F.col("doc_id").alias("page_id"), "quality"), "page_id", "left"),
         "SELECT page_id, quality FROM pages LEFT JOIN labels ON page_id = doc_id",
     ),
-    "S15_one_hop": (
-        lambda s, d: geo_edges(s, d).where("src = 'n3' OR tgt = 'n3'").orderBy("src", "tgt").limit(30),
-        f"SELECT * FROM ({GEO_EDGES}) WHERE src = 'n3' OR tgt = 'n3' ORDER BY src, tgt LIMIT 30",
-    ),
     "S25_select_relation": (lambda s, d: geo(s, d).where("p = 'broader'").select("s", "o"), f"SELECT s, o FROM {GEO} WHERE p = 'broader'"),
-    "U6_merge_first": (
-        lambda s, d: B.first_per(geo(s, d).select("s", "o", F.lit(0).alias("run")).union(geo(s, d).select("s", "o", F.lit(1))), ["s", "o"], ["run"]),
-        f"SELECT s, o, 0 AS run FROM {GEO} GROUP BY s, o",
-    ),
-    "F8_answer_match": (answer_matches, MATCHES),
-    "F7_correct_one": (
-        lambda s, d: s.sql("SELECT * FROM VALUES (1, 'hearts'), (2, 'kidny'), (3, 'liver'), (4, 'lunk'), (5, 'spleem') AS t(id, w)").join(s.sql("SELECT * FROM VALUES ('heart'), ('kidney'), ('liver'), ('spleen') AS t(k)").hint("broadcast"), (F.length("w") >= 5) & (F.levenshtein("w", "k", 1) == 1), "left").groupBy("id", "w").agg(F.count("k").alias("n"), F.first("k").alias("k")).select("id", F.when(F.col("n") == 1, F.col("k")).otherwise(F.col("w")).alias("word")),
-        "SELECT * FROM (VALUES (1, 'heart'), (2, 'kidney'), (3, 'liver'), (4, 'lunk'), (5, 'spleen')) AS t(id, word)",
-    ),
-    "F9_render_pattern": (
-        lambda s, d: geo(s, d).where("s LIKE 'n%'").groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", T.term_iri(F.col("s"), "urn:c:"), F.lit("?p"), T.term_iri(F.col("o"), "urn:c:"), F.lit(".")))), "\n").alias("pattern")),
-        f"SELECT s, string_agg(x, chr(10) ORDER BY x) AS pattern FROM (SELECT DISTINCT s, '<urn:c:' || s || '> ?p <urn:c:' || o || '> .' AS x FROM {GEO} WHERE s LIKE 'n%') GROUP BY s",
-    ),
     "F22_to_json": (
         lambda s, d: V.table(s, d, "nation").select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("json")),
         "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS json FROM nation",
     ),
-    "F26_node_report": (
-        lambda s, d: geo(s, d).where("o LIKE 'n%'").groupBy("o").agg(F.count_if(F.col("p") == "is_a").alias("members"), F.count_if(F.col("p") == "rdfs:subClassOf").alias("subclasses"), F.min("s").alias("first")),
-        f"SELECT o, count(*) FILTER (p = 'is_a') AS members, count(*) FILTER (p = 'rdfs:subClassOf') AS subclasses, min(s) AS first FROM {GEO} WHERE o LIKE 'n%' GROUP BY o",
-    ),
-    "F27_compact_names": (
-        lambda s, d: V.table(s, d, "pages").select("page_id", F.regexp_replace("url", "^https?://www\\.", "www:").alias("name")),
-        "SELECT page_id, regexp_replace(url, '^https?://www\\.', 'www:') AS name FROM pages",
-    ),
-    "G18_find_path": (
-        lambda s, d: thoughts(s, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "id"))), lambda x: x["id"]), ">").alias("path")),
-        "SELECT conv_id, string_agg(conv_id || '_' || turn, '>' ORDER BY turn) AS path FROM conversations GROUP BY conv_id",
-    ),
-    "G26_hyperedge_edits": (
-        lambda s, d: V.view(s, d, V.INCIDENCE).where("eid <> 'o1'").unionByName(s.sql("SELECT 'p1' AS vid, 'new' AS eid")).groupBy("eid").agg(F.count("*").alias("n")).where("n > 5"),
-        f"SELECT eid, count(*) AS n FROM {V.plain(V.INCIDENCE)} WHERE eid <> 'o1' GROUP BY eid HAVING count(*) > 5",
-    ),
-    "G29_filtered_section": (
-        lambda s, d: G.strongest(G.two_section(V.view(s, d, V.INCIDENCE).where("substr(eid, 2) % 10 = 0")).select(F.col("a").alias("src"), F.col("b").alias("tgt"), F.col("n").alias("score")), 1).where("score >= 1"),
-        f"WITH p AS (SELECT x.vid AS src, y.vid AS tgt, count(*) AS score FROM {V.plain(V.INCIDENCE)} x JOIN {V.plain(V.INCIDENCE)} y ON x.eid = y.eid AND x.vid < y.vid WHERE CAST(x.eid[2:] AS BIGINT) % 10 = 0 GROUP BY 1, 2), m AS (SELECT *, src AS u, tgt AS v FROM p UNION ALL SELECT *, tgt, src FROM p) SELECT DISTINCT src, tgt, score FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, v) AS r FROM m) WHERE r <= 1",
-    ),
     "G21_cluster_vectors": (lambda s, d: L.clustered(V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10), None),
-    "G28_random_walks": (lambda s, d: L.walks(geo_edges(s, d).where("src LIKE 's%' OR src LIKE 'n%'"), 4, 2), None),
     "N9_text_vectors": (lambda s, d: L.hashed_text(documents(s, d).select("doc_id", "text"), 32), None),
-    "F30_noise": (lambda s, d: V.table(s, d, "nation").select("n_nationkey", L.noisy(F.col("n_name"), F.col("n_nationkey"), 0.3).alias("noisy")), None),
-    "F31_noise_report": (
-        lambda s, d: V.table(s, d, "part").select(F.col("p_name").alias("before"), L.noisy(F.col("p_name"), F.col("p_partkey"), 0.0).alias("after")).agg(F.count_if(F.col("before") != F.col("after")).alias("changed"), F.count("*").alias("n")),
-        "SELECT 0 AS changed, count(*) AS n FROM part",
-    ),
     "A25_usage_by_user": (
         lambda s, d: events(s, d).groupBy("user_id").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("seconds"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds")),
         "SELECT user_id, count(*) AS calls, round(sum(value), 2) AS seconds, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id",
     ),
-    "A28_centralities": (
-        lambda s, d: L.centralities(V.table(s, d, "events").where("event_id < 300").selectExpr("CAST(event_id % 20 AS BIGINT) AS grp", "CAST(user_id % 5 AS BIGINT) AS a", "CAST((user_id + event_id) % 5 AS BIGINT) AS b").where("a <> b").distinct()),
-        None,
-    ),
-    "A32_merge_rank": (
-        lambda s, d: V.table(s, d, "part").groupBy("p_name").agg(F.first("p_type", ignorenulls=True).alias("any"), F.max(T.match_score(F.col("p_name"), F.lit("st"))).alias("score"), F.count("*").alias("n")).orderBy(F.desc("score"), F.desc("n"), "p_name").limit(10).select("p_name", "score", "n"),
-        "SELECT p_name, CAST(max(CASE WHEN starts_with(lower(p_name), 'st') THEN 6 WHEN contains(lower(p_name), 'st') THEN 3 ELSE 0 END) AS DOUBLE) AS score, count(*) AS n FROM part GROUP BY p_name ORDER BY score DESC, n DESC, p_name LIMIT 10",
-    ),
-    "T11_cluster_representatives": (
-        lambda s, d: V.table(s, d, "embeddings").select("vec_id", "label", F.row_number().over(W.partitionBy("label").orderBy("vec_id")).alias("r"), F.count("*").over(W.partitionBy("label")).alias("n")).where(F.col("r") == F.floor((F.col("n") + 1) / 2)).select("label", "vec_id"),
-        "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE r = (n + 1) // 2",
-    ),
-    "X3_split_class": (
-        lambda s, d: V.view(s, d, V.SUPPLY).select(F.explode(F.when(F.col("src") == "s1", F.array(F.lit("s1a"), F.lit("s1b"))).otherwise(F.array("src"))).alias("src"), "tgt", "score").groupBy("src", "tgt").agg(F.max("score").alias("score")).where("src LIKE 's1%'"),
-        f"SELECT src, tgt, max(score) AS score FROM (SELECT unnest(CASE WHEN src = 's1' THEN ['s1a', 's1b'] ELSE [src] END) AS src, tgt, score FROM {V.plain(V.SUPPLY)}) WHERE src LIKE 's1%' GROUP BY ALL",
-    ),
-    "X5_structural_twins": (
-        lambda s, d: geo_edges(s, d).where("src LIKE 's%'").groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("tgt")), ",").alias("up")).groupBy("up").agg(F.min("src").alias("keeps"), F.count("*").alias("n")).where("n > 1"),
-        f"SELECT up, min(src) AS keeps, count(*) AS n FROM (SELECT src, string_agg(tgt, ',' ORDER BY tgt) AS up FROM ({GEO_EDGES}) WHERE src LIKE 's%' GROUP BY src) GROUP BY up HAVING count(*) > 1",
-    ),
-    "X7_hot_cache": (
-        lambda s, d: cache(s, d).withColumn("r", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("frequency"), F.desc("last_used")))).where("r <= 32").select("tier", "key"),
-        f"SELECT tier, key FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY frequency DESC, last_used DESC) AS r FROM {CACHE}) WHERE r <= 32",
-    ),
-    "X13_consult_tiers": (
-        consulted,
-        f"SELECT e.user_id, CASE WHEN e.user_id IN (SELECT key FROM {CACHE} WHERE tier = 'click' AND frequency > 14) THEN 'hot' WHEN e.user_id IN (SELECT id FROM {PATHS} WHERE id % 5 = 0) THEN 'short' ELSE 'store' END AS tier FROM (SELECT DISTINCT user_id FROM events) e",
-    ),
-    "X17_event_fold": (
-        lambda s, d: conversations(s, d).groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)).alias("answered"), F.max("turn").alias("last")),
-        "SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS answered, max(turn) AS last FROM conversations GROUP BY conv_id",
-    ),
-    "X18_live_rebuild": (
-        lambda s, d: events(s, d).where("event_type <> 'error'").groupBy("event_type").agg(F.max("event_id").alias("newest")),
-        "SELECT event_type, max(event_id) AS newest FROM events WHERE event_type <> 'error' GROUP BY 1",
-    ),
-    "C1_summary": (
-        lambda s, d: geo(s, d).agg(F.count_distinct("s").alias("subjects"), F.count_distinct("p").alias("relations"), F.count_distinct("o").alias("objects")),
-        f"SELECT count(DISTINCT s) AS subjects, count(DISTINCT p) AS relations, count(DISTINCT o) AS objects FROM {GEO}",
-    ),
-    "K11_wide_metrics": (
-        lambda s, d: events(s, d).groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count(F.lit(1))).select("user_id", F.coalesce("click", F.lit(0)).alias("click"), F.coalesce("view", F.lit(0)).alias("view")),
-        "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1",
-    ),
-    "G8_limited_closure": (
-        lambda s, d: G.closure(geo_edges(s, d)).where("src LIKE 'n%'"),
-        f"WITH RECURSIVE {CLOSED} SELECT src, tgt FROM tc WHERE src LIKE 'n%'",
-    ),
-    "P30_drop_echo": (
-        lambda s, d: conversations(s, d).select("conv_id", "turn", F.size(F.filter(F.split("text", "[.!?]\\s+"), lambda x: ~F.contains(F.lower(x), F.lit("the")))).alias("kept")),
-        "SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '[.!?]\\s+'), lambda x: NOT contains(lower(x), 'the'))) AS INTEGER) AS kept FROM conversations",
-    ),
-    "P29_display_names": (
-        lambda s, d: V.table(s, d, "pages").select("page_id", F.regexp_extract("url", "://([^/]*)", 1).alias("prefix")),
-        "SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS prefix FROM pages",
-    ),
 }

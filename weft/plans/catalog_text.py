@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from weft.functions import text as T
 from weft.operators import tables as B
+from weft.plans import refine as R
 from weft.plans import views as V
 
 TH = V.plain(V.THOUGHTS)
@@ -43,12 +43,6 @@ def eviction(policy, order):
     )
 
 
-def paths(s, d):
-    return events(s, d).where("event_id % 3 = 0").groupBy(F.col("user_id").alias("id")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), 1, 5), lambda x: x["event_type"]).alias("path"))
-
-
-PATHS = "(SELECT user_id AS id, list(event_type ORDER BY event_id)[1:5] AS path FROM events WHERE event_id % 3 = 0 GROUP BY user_id)"
-TREE = f"walk(id, root, depth) AS (SELECT id, id, 0 FROM {TH} WHERE root UNION ALL SELECT t.id, w.root, w.depth + 1 FROM {TH} t JOIN walk w ON t.parent_id = w.id AND NOT t.root)"
 SAID = "VALUES (1, 'YES, they match.'), (2, '<Answer>no</Answer> yes'), (3, 'yesterday'), (4, 'YES or NO'), (5, '{\"answer\": \"yes\", \"confidence\": 0.7}'), (6, 'No.'), (7, '<Confidence>7.5</Confidence> YES')"
 OPS = "VALUES ('x >= y'), ('a/b c'), ('50% & more'), (' (odd) '), ('a<-b->c'), ('p != q'), ('m@n+o')"
 ASK = "VALUES ('What are the body systems?'), ('List the Body System'), ('which  glasses are there!'), ('How do arteries branch'), ('Tell me of the two-way valves ')"
@@ -74,18 +68,10 @@ QUERIES = {
         lambda s, d: documents(s, d).select("doc_id", F.size(T.shingles(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("n")),
         "SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS INTEGER) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)",
     ),
-    "F5_signature_overlap": (
-        lambda s, d: documents(s, d).where("doc_id < 200").select("doc_id", T.shingles(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), 1, 30)).alias("q"), T.shingles(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), 11, 60)).alias("a")).select("doc_id", F.round(T.overlap(F.col("q"), F.col("a")), 6).alias("overlap")),
-        "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+')[1:30] AS x, regexp_extract_all(lower(text), '[a-z]+')[11:70] AS y FROM documents WHERE doc_id < 200), s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(x) - 1), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2])) AS q, list_distinct(list_transform(range(1, len(y) - 1), lambda i: y[i] || ' ' || y[i + 1] || ' ' || y[i + 2])) AS a FROM w) SELECT doc_id, round(coalesce(len(list_intersect(q, a)) / nullif(len(q), 0), 0), 6) AS overlap FROM s",
-    ),
     "F6_bounded_edit_distance": (
         lambda s, d: V.table(s, d, "part").select("p_partkey", T.bounded_distance(F.col("p_name"), F.concat("p_name", F.substring("p_brand", -1, 1))).alias("near"), T.bounded_distance(F.col("p_name"), F.col("p_type")).alias("far")),
         "SELECT p_partkey, CAST(1 AS INTEGER) AS near, CAST(CASE WHEN levenshtein(p_name, p_type) > 1 THEN 2 ELSE levenshtein(p_name, p_type) END AS INTEGER) AS far FROM part",
     ),
-    "F11_first_sentence": (
-        lambda s, d: documents(s, d).where("doc_id < 300").select("doc_id", T.first_sentence(F.col("text"), 80).alias("sentence")),
-        "SELECT doc_id, coalesce(nullif(regexp_extract(trim(text, ' '), '(?s)^(.*?[.!?])\\s', 1), ''), trim(text, ' '))[1:80] AS sentence FROM documents WHERE doc_id < 300",
-    ),
     "F12_synonyms": (
         lambda s, d: s.sql(f"SELECT * FROM {PROSE} AS t(id, text, term)").select("id", F.array_join(T.synonyms(F.col("text"), F.col("term")), "|").alias("names")),
         "SELECT * FROM (VALUES (1, 'the ticker|pump|cor|cardiac pump'), (2, 'ren|nephros'), (3, '')) AS t(id, names)",
@@ -98,14 +84,6 @@ QUERIES = {
         lambda s, d: documents(s, d).select("doc_id", T.first_given(F.when(F.col("doc_id") % 3 == 0, " "), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source")).alias("picked")),
         "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS picked FROM documents",
     ),
-    "F15_slug": (
-        lambda s, d: V.table(s, d, "part").select("p_partkey", T.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug")),
-        "SELECT p_partkey, trim(regexp_replace(regexp_replace((p_name || ' / ' || p_type)[1:50], '[^a-zA-Z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '._') AS slug FROM part",
-    ),
-    "F16_preview": (
-        lambda s, d: documents(s, d).select("doc_id", T.preview(F.col("text"), 60).alias("preview")),
-        "SELECT doc_id, CASE WHEN length(t) > 60 THEN t[1:59] || '…' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)",
-    ),
     "F19_yes_no": (
         lambda s, d: s.sql(f"SELECT * FROM {SAID} AS t(id, said)").select("id", T.yes_no(F.col("said")).alias("yes")),
         "SELECT * FROM (VALUES (1, true), (2, false), (3, NULL), (4, NULL), (5, true), (6, false), (7, true)) AS t(id, yes)",
@@ -139,58 +117,17 @@ QUERIES = {
         lambda s, d: V.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names")).select("n_regionkey", T.human_join(F.col("names")).alias("names")),
         "SELECT n_regionkey, array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[len(l)] AS names FROM (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l FROM nation GROUP BY 1)",
     ),
-    "P28_redact": (
-        lambda s, d: documents(s, d).select("doc_id", F.md5(T.redacted(F.concat(F.lit("Bearer abc.def sk-ABCDEFGHIJKLMNOP1 "), F.substring("text", 1, 200))).cast("binary")).alias("digest")),
-        "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace('Bearer abc.def sk-ABCDEFGHIJKLMNOP1 ' || text[1:200], '(?i)\\bBearer\\s+\\S+', 'Bearer ******', 'g'), '(?i)\\bsk-[A-Za-z0-9]{16,}\\b', 'sk-******', 'g'), '(?i)\\bghp_[A-Za-z0-9]{20,}\\b', 'ghp_******', 'g')) AS digest FROM documents",
-    ),
-    "P19_tags": (
-        lambda s, d: documents(s, d).select("doc_id", F.array("lang", "source").alias("tags")).where(F.arrays_overlap("tags", F.array(F.lit("fr"), F.lit("src3")))).select("doc_id"),
-        "SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3'",
-    ),
-    "P20_search_thoughts": (
-        lambda s, d: conversations(s, d).where(F.contains(F.lower("text"), F.lit("that"))).select("conv_id", "turn", F.lit("content").alias("hit")).union(conversations(s, d).where(F.contains("role", F.lit("assist"))).select("conv_id", "turn", F.lit("tag"))).orderBy("conv_id", "turn", "hit").limit(100),
-        "SELECT * FROM (SELECT conv_id, turn, 'content' AS hit FROM conversations WHERE contains(lower(text), 'that') UNION ALL SELECT conv_id, turn, 'tag' FROM conversations WHERE contains(role, 'assist')) ORDER BY ALL LIMIT 100",
-    ),
-    "P21_prompt_response": (
-        lambda s, d: thoughts(s, d).where("NOT root").select("id", "parent_id", F.when(F.col("role") == "assistant", "answers").otherwise("follows").alias("kind"), F.lit(1.0).alias("weight")),
-        f"SELECT id, parent_id, CASE WHEN role = 'assistant' THEN 'answers' ELSE 'follows' END AS kind, 1.0 AS weight FROM {TH} WHERE NOT root",
-    ),
-    "P22_ordered_lookup": (
-        lambda s, d: s.range(1).select(F.posexplode(F.array(*(F.lit(i) for i in (17, 3, 999999999, 8))))).select("pos", F.col("col").cast("long").alias("doc_id")).join(documents(s, d).select("doc_id", "lang"), "doc_id"),
-        "SELECT pos, doc_id, lang FROM (VALUES (0, 17), (1, 3), (3, 8)) AS t(pos, doc_id) JOIN documents USING (doc_id)",
-    ),
-    "P23_context_candidates": (
-        lambda s, d: B.first_per(documents(s, d).where("lang = 'en'").orderBy("doc_id").limit(50).select("doc_id", F.lit(0).alias("rank")).union(documents(s, d).where("source = 'src1'").select("doc_id", F.lit(1))), ["doc_id"], ["rank"]).orderBy("rank", "doc_id").limit(256),
-        "SELECT doc_id, min(rank) AS rank FROM (SELECT doc_id, 0 AS rank FROM (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50) UNION ALL SELECT doc_id, 1 FROM documents WHERE source = 'src1') GROUP BY doc_id ORDER BY rank, doc_id LIMIT 256",
-    ),
-    "P24_context_selection": (
-        lambda s, d: events(s, d).select("event_id", (F.col("value") / 100 >= 0.2).alias("selected")).groupBy("selected").agg(F.count("*").alias("n")),
-        "SELECT value / 100 >= 0.2 AS selected, count(*) AS n FROM events GROUP BY 1",
-    ),
-    "P25_rejection_rate": (
-        lambda s, d: events(s, d).groupBy("event_type").agg(F.round(F.avg((F.col("value") < 20).cast("double")), 6).alias("rate"), F.count("*").alias("n")),
-        "SELECT event_type, round(avg(CASE WHEN value < 20 THEN 1.0 ELSE 0 END), 6) AS rate, count(*) AS n FROM events GROUP BY 1",
-    ),
-    "P26_route": (
-        lambda s, d: events(s, d).select("event_id", F.when((F.col("value") / 100 >= 0.8) & (F.col("user_id") % 2 == 0), "replay").when(F.col("value") / 100 >= 0.8, "retrieve").otherwise("ask").alias("route")),
-        "SELECT event_id, CASE WHEN value / 100 >= 0.8 AND user_id % 2 = 0 THEN 'replay' WHEN value / 100 >= 0.8 THEN 'retrieve' ELSE 'ask' END AS route FROM events",
-    ),
-    "P27_tool_gate": (
-        lambda s, d: events(s, d).withColumn("risk", F.when(F.col("event_id") % 11 != 0, F.col("value") / 100)).select("event_id", (F.col("risk").isNull() | (F.col("risk") >= 0.5)).alias("blocked")),
-        "SELECT event_id, event_id % 11 = 0 OR value / 100 >= 0.5 AS blocked FROM events",
+    "A16_duplicate_labels": (
+        lambda s, d: B.duplicate_labels(V.table(s, d, "part").select(F.col("p_partkey").alias("subject"), F.concat_ws(" ", "p_name", "p_brand").alias("label"))),
+        "SELECT p_name || ' ' || p_brand AS label, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     ),
-    "P31_member_names": (
-        lambda s, d: V.table(s, d, "part").groupBy("p_name").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ", ").alias("brands")),
-        "SELECT p_name, string_agg(p_brand, ', ' ORDER BY p_brand) AS brands FROM (SELECT DISTINCT p_name, p_brand FROM part) GROUP BY p_name",
-    ),
-    "A16_duplicate_labels": (lambda s, d: V.table(s, d, "part").groupBy(F.col("p_name").alias("label")).agg(F.count("*").alias("n")).where("n > 30"), "SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 30"),
     "A17_coverage": (
-        lambda s, d: documents(s, d).join(V.table(s, d, "labels").select("doc_id", F.lit(1).alias("has")), "doc_id", "left").agg(F.bround(100 * F.avg(F.coalesce("has", F.lit(0))), 1).alias("coverage")),
+        lambda s, d: B.coverage(documents(s, d).select(F.col("doc_id").alias("id")), V.table(s, d, "labels").select(F.col("doc_id").alias("id"))),
         "SELECT round(100.0 * (SELECT count(*) FROM labels SEMI JOIN documents USING (doc_id)) / count(*), 1) AS coverage FROM documents",
     ),
     "A21_top_terms": (
-        lambda s, d: B.first_per(documents(s, d).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term")).where(F.length("term") >= 3).groupBy("lang", "term").agg(F.count("*").alias("n")), ["lang"], [F.desc("n"), "term"]),
-        "SELECT lang, term, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS r FROM (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) WHERE length(term) >= 3 GROUP BY ALL)) WHERE r = 1",
+        lambda s, d: B.top_terms(documents(s, d), 8, ["lang"], ["and"]),
+        f"SELECT lang, term, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS r FROM (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z][a-z-]{{2,}}')) AS term FROM documents) WHERE term NOT IN ({', '.join(repr(w) for w in B.STOP_WORDS)}) GROUP BY ALL)) WHERE r <= 8",
     ),
     "A22_thought_statistics": (
         lambda s, d: thoughts(s, d).groupBy("role").agg(F.count("*").alias("n"), F.max("turn").alias("deepest"), F.round(F.avg("turn"), 6).alias("mean_depth")),
@@ -198,8 +135,8 @@ QUERIES = {
     ),
     "A23_content_lengths": (lambda s, d: conversations(s, d).agg(F.sum(F.length("text")).alias("chars"), F.round(F.avg(F.length("text")), 6).alias("mean")), "SELECT CAST(sum(length(text)) AS BIGINT) AS chars, round(avg(length(text)), 6) AS mean FROM conversations"),
     "A24_conversation_patterns": (
-        lambda s, d: conversations(s, d).groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("role")).alias("roles")).groupBy(F.array_join("roles", ",").alias("roles")).agg(F.count("*").alias("conversations"), F.sum("n").alias("turns"), F.max("n").alias("longest"), F.min("n").alias("shortest")),
-        "SELECT roles, count(*) AS conversations, CAST(sum(n) AS BIGINT) AS turns, max(n) AS longest, min(n) AS shortest FROM (SELECT conv_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id) GROUP BY roles",
+        lambda s, d: B.patterns(conversations(s, d).select(F.col("conv_id").alias("conversation"), F.col("role").alias("kind"))).withColumns({"mean": F.round("mean", 6), "kinds": F.array_join("kinds", ",")}),
+        "SELECT count(*) AS conversations, CAST(sum(n) AS BIGINT) AS turns, round(avg(n), 6) AS mean, max(n) AS longest, min(n) AS shortest, (SELECT string_agg(DISTINCT role, ',' ORDER BY role) FROM conversations) AS kinds FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)",
     ),
     "A26_majority": (
         lambda s, d: B.majority(V.table(s, d, "events").selectExpr("user_id AS id", "CASE WHEN value < 5 THEN NULL ELSE value > 30 END AS said")).select("id", "answer", F.round("agreement", 6).alias("agreement")),
@@ -214,11 +151,11 @@ QUERIES = {
         "SELECT user_id, arg_min(value, event_id) FILTER (value > 40) AS high, min(event_id) FILTER (event_type = 'click') AS click FROM events GROUP BY user_id",
     ),
     "A33_answer_recall": (
-        lambda s, d: V.table(s, d, "nation").groupBy("n_regionkey").agg(F.round(F.avg(F.contains("n_name", F.lit("A")).cast("double")), 6).alias("recall")),
-        "SELECT n_regionkey, round(avg(CASE WHEN contains(n_name, 'A') THEN 1.0 ELSE 0 END), 6) AS recall FROM nation GROUP BY 1",
+        lambda s, d: B.recall(V.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.slice(F.split("text", " "), 1, 5)).alias("label"), F.lit("THE answer is a word of the kind that people say in an answer to questions").alias("answer"))).withColumn("recall", F.round("recall", 6)),
+        "SELECT id, round(avg(CASE WHEN contains('the answer is a word of the kind that people say in an answer to questions', lower(l)) THEN 1.0 ELSE 0 END), 6) AS recall FROM (SELECT item_id AS id, unnest(string_split(text, ' ')[1:5]) AS l FROM benchmark) GROUP BY id",
     ),
     "W2_newest_runs": (
-        lambda s, d: events(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(15).select("event_id", "user_id"),
+        lambda s, d: B.newest(events(s, d), 15, "ts", "event_id").select("event_id", "user_id"),
         "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 15",
     ),
     "W3_latest_per_run": (
@@ -226,16 +163,16 @@ QUERIES = {
         "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     ),
     "W4_run_endpoints": (
-        lambda s, d: conversations(s, d).groupBy("conv_id").agg(F.min_by("turn", F.when(F.col("role") == "user", F.col("turn"))).alias("start"), F.max_by("turn", F.when(F.col("role") == "assistant", F.col("turn"))).alias("end")),
-        "SELECT conv_id, min(turn) FILTER (role = 'user') AS start, max(turn) FILTER (role = 'assistant') AS \"end\" FROM conversations GROUP BY conv_id",
+        lambda s, d: B.run_endpoints(conversations(s, d).select("conv_id", F.col("turn").alias("id"), "turn", F.array(F.when(F.col("role") == "user", "user_query").when(F.col("role") == "assistant", "final_result").otherwise("")).alias("tags")), "conv_id", "turn"),
+        "SELECT conv_id, coalesce(min(turn) FILTER (role = 'user'), min(turn)) AS start, coalesce(max(turn) FILTER (role = 'assistant'), max(turn)) AS \"end\" FROM conversations GROUP BY conv_id",
     ),
     "W5_compare_previous": (
-        lambda s, d: events(s, d).withColumn("before", F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))).where("before IS NOT NULL").groupBy((F.col("before") == F.col("event_type")).alias("same")).agg(F.count("*").alias("n")),
-        "SELECT before = event_type AS same, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NOT NULL GROUP BY 1",
+        lambda s, d: B.compared_previous(events(s, d).select("user_id", F.col("event_id").alias("run_id"), F.when(F.col("event_id") % 3 == 0, "failed").otherwise("passed").alias("status"), F.col("event_type").alias("fingerprint")), ["user_id"]).select("run_id", "previous", "reproducible"),
+        "WITH p AS (SELECT *, last_value(CASE WHEN event_id % 3 <> 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events) SELECT p.event_id AS run_id, previous, p.event_type = e.event_type AS reproducible FROM p JOIN events e ON e.event_id = previous",
     ),
     "W6_node_index": (
-        lambda s, d: V.table(s, d, "nation").select("n_name", (F.row_number().over(W.orderBy("n_name")) - 1).alias("i")),
-        "SELECT n_name, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS i FROM nation",
+        lambda s, d: R.numbered(V.table(s, d, "customer"), "c_name"),
+        "SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS i FROM (SELECT DISTINCT c_name FROM customer)",
     ),
     "W8_evict_lru": eviction("lru", "last_used, ord"),
     "X12_evict_lfu": eviction("lfu", "frequency, last_used, ord"),
@@ -244,69 +181,15 @@ QUERIES = {
         lambda s, d: B.first_per(events(s, d).select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], [F.desc("event_id")]),
         "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
     ),
-    "S9_load_run": (lambda s, d: conversations(s, d).where("conv_id = 7").select("turn", "role"), "SELECT turn, role FROM conversations WHERE conv_id = 7"),
+    "S9_load_run": (lambda s, d: B.load_run(conversations(s, d), 7, "conv_id").select("turn", "role"), "SELECT turn, role FROM conversations WHERE conv_id = 7"),
     "S11_latest_run_ids": (
-        lambda s, d: events(s, d).groupBy("user_id").agg(F.max("ts").alias("t"), F.max("event_id").alias("e")).orderBy(F.desc("t"), F.desc("e")).limit(20).select("user_id"),
-        "SELECT user_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, max(event_id) DESC LIMIT 20",
-    ),
-    "S12_merge_runs": (
-        lambda s, d: B.first_per(events(s, d).where("event_id % 2 = 0").withColumn("run", F.lit(0)).unionByName(events(s, d).where("event_id % 3 = 0").withColumn("run", F.lit(1))), ["event_id"], ["run"]).select("event_id", "run"),
-        "SELECT event_id, min(run) AS run FROM (SELECT event_id, 0 AS run FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 1 FROM events WHERE event_id % 3 = 0) GROUP BY 1",
-    ),
-    "S13_node_search": (
-        lambda s, d: V.table(s, d, "part").where(F.exists(F.array("p_name", "p_type"), lambda x: F.contains(F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), F.lit("ste")))).orderBy("p_partkey").limit(25).select("p_partkey"),
-        "SELECT p_partkey FROM part WHERE contains(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), 'ste') OR contains(regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g'), 'ste') ORDER BY 1 LIMIT 25",
-    ),
-    "S14_pool_search": (
-        lambda s, d: V.table(s, d, "part").withColumn("r", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))).where("r <= 3").select("p_brand", "p_partkey"),
-        "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 3",
-    ),
-    "S16_random_nodes": (lambda s, d: V.table(s, d, "part").orderBy(F.xxhash64("p_partkey", F.lit(42))).limit(10).select("p_partkey"), None),
-    "S19_schema_counts": (lambda s, d: V.table(s, d, "pages").where(F.startswith("url", F.lit("https://"))).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM pages WHERE starts_with(url, 'https://')"),
-    "S20_term_projection": (
-        lambda s, d: events(s, d).select("event_id", F.from_json("props", "k INT").alias("p")).select("event_id", F.coalesce("p.k", F.lit(-1)).alias("k")),
-        "SELECT event_id, coalesce(CAST(props->>'k' AS INTEGER), -1) AS k FROM events",
-    ),
-    "X8_prefix_trie": (
-        lambda s, d: B.prefixes(paths(s, d)),
-        f"SELECT array_to_string(path[1:k], '/') AS prefix, CAST(k AS INTEGER) AS depth, count(*) AS n FROM (SELECT path, unnest(range(1, len(path) + 1)) AS k FROM {PATHS}) GROUP BY ALL",
-    ),
-    "X9_promote": (
-        lambda s, d: B.prefixes(paths(s, d)).where("n >= 3 AND depth = 2").select("prefix", "n"),
-        f"SELECT array_to_string(path[1:2], '/') AS prefix, count(*) AS n FROM {PATHS} WHERE len(path) >= 2 GROUP BY 1 HAVING count(*) >= 3",
-    ),
-    "X11_longest_prefix": (
-        lambda s, d: B.longest_prefix(paths(s, d), paths(s, d).where("id % 5 = 0").select(F.slice("path", 1, 3).alias("path"))),
-        f"SELECT q.id, arg_max(array_to_string(q.path[1:k], '/'), k) AS prefix FROM (SELECT id, path, unnest(range(1, len(path) + 1)) AS k FROM {PATHS}) q WHERE array_to_string(q.path[1:k], '/') IN (SELECT array_to_string(path[1:3], '/') FROM {PATHS} WHERE id % 5 = 0) GROUP BY q.id",
-    ),
-    "X10_replay_key": (
-        lambda s, d: paths(s, d).groupBy(F.array_join(F.array_sort(F.array_distinct("path")), ",").alias("key")).agg(F.count("*").alias("n")),
-        f"SELECT array_to_string(list_sort(list_distinct(path)), ',') AS key, count(*) AS n FROM {PATHS} GROUP BY 1",
-    ),
-    "X14_longest_answer": (
-        lambda s, d: conversations(s, d).where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("turn", F.struct(F.length("text"), -F.col("turn"))).alias("turn")),
-        "SELECT conv_id, arg_max(turn, (length(text), -turn)) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
-    ),
-    "X15_chat_chains": (
-        lambda s, d: thoughts(s, d).withColumn("new", F.when(F.col("role") == "user", 1).otherwise(0)).select("id", F.sum("new").over(W.partitionBy("conv_id").orderBy("turn")).alias("chain")),
-        "SELECT concat(conv_id, '_', turn) AS id, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS chain FROM conversations",
-    ),
-    "G22_trace_tree": (
-        lambda s, d: thoughts(s, d).select("id", F.when(~F.col("root"), F.col("parent_id")).alias("parent"), (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).alias("depth"), (F.lead("turn").over(W.partitionBy("conv_id").orderBy("turn")).isNull()).alias("leaf")),
-        f"WITH RECURSIVE {TREE} SELECT w.id, CASE WHEN NOT t.root THEN t.parent_id END AS parent, w.depth, NOT EXISTS (SELECT 1 FROM {TH} c WHERE c.parent_id = w.id AND NOT c.root) AS leaf FROM walk w JOIN {TH} t ON t.id = w.id",
-    ),
-    "G23_trace_edges": (
-        lambda s, d: thoughts(s, d).where("NOT root").select(F.col("parent_id").alias("src"), F.col("id").alias("tgt"), F.concat(F.lit("to_"), "role").alias("kind")),
-        f"SELECT parent_id AS src, id AS tgt, 'to_' || role AS kind FROM {TH} WHERE NOT root",
-    ),
-    "G24_dedup_thoughts": (
-        lambda s, d: conversations(s, d).groupBy(F.sha2(F.concat_ws("|", "role", "text"), 256).alias("key")).agg(F.count("*").alias("n"), F.min("conv_id").alias("first")),
-        "SELECT sha256(role || '|' || text) AS key, count(*) AS n, min(conv_id) AS first FROM conversations GROUP BY 1",
+        lambda s, d: B.latest_ids(events(s, d).withColumn("updated", F.when(F.col("event_id") % 2 == 0, F.col("event_id") + 5)), 20, ["updated", "event_id"], "user_id"),
+        "SELECT user_id FROM events GROUP BY user_id ORDER BY max(CASE WHEN event_id % 2 = 0 THEN event_id + 5 ELSE event_id END) DESC, user_id DESC LIMIT 20",
     ),
-    "T12_hot_answers": (lambda s, d: cache(s, d).orderBy(F.desc("frequency"), "tier", "key").limit(10).select("tier", "key", "frequency"), f"SELECT tier, key, frequency FROM {CACHE} ORDER BY frequency DESC, tier, key LIMIT 10"),
+    "T12_hot_answers": (lambda s, d: B.hottest(cache(s, d), 10).select("tier", "key", "frequency"), f"SELECT tier, key, frequency FROM {CACHE} ORDER BY frequency DESC, tier, key LIMIT 10"),
     "T13_sampled_questions": (
-        lambda s, d: V.table(s, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).where("n BETWEEN 25 AND 32").withColumn("r", F.row_number().over(W.orderBy("p_name"))).where("r % 5 = 1").select("p_name", "n"),
-        "SELECT p_name, n FROM (SELECT *, row_number() OVER (ORDER BY p_name) AS r FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1) WHERE n BETWEEN 25 AND 32) WHERE r % 5 = 1",
+        lambda s, d: B.sampled_parents(V.table(s, d, "part").select(F.col("p_name").alias("parent"), F.col("p_brand").alias("child")), 5, 3, 30),
+        "WITH q AS (SELECT p_name AS parent, count(DISTINCT p_brand) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) BETWEEN 3 AND 30), r AS (SELECT *, row_number() OVER (ORDER BY parent) - 1 AS i, greatest(1, (SELECT count(*) FROM q) // 5) AS step FROM q) SELECT parent, n FROM r WHERE i % step = 0 ORDER BY i LIMIT 5",
     ),
     "X2_low_confidence": (
         lambda s, d: events(s, d).withColumn("confidence", F.when(F.col("event_id") % 10 != 0, F.least(F.col("value") / 49, F.lit(10.0)))).select("event_id", F.when(F.col("confidence") < 8.5, "LOW_CONFIDENCE").otherwise("accepted").alias("lane")),

@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from weft.operators import lookup as L
 from weft.operators import metrics as M
 from weft.operators import vectors as X
 from weft.plans import views as V
 
-E = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
-AB = f"a AS (SELECT * FROM {E} WHERE id % 2 = 0), b AS (SELECT * FROM {E} WHERE id % 2 = 1), s AS (SELECT a.id AS l, b.id AS r, a.label = b.label AS gold, list_cosine_similarity(a.v, b.v) AS score FROM a, b), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS rank FROM s) WHERE rank <= 5)"
+E = "(SELECT vec_id AS id, v, label, sqrt(list_dot_product(v, v)) + 1e-9 AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings))"
+#: The cosine of two rows of E, with the small number that both norms are raised by.
+COS = "list_dot_product({0}.v, {1}.v) / ({0}.n * {1}.n)"
+XY = COS.format("x", "y")
+AB = f"a AS (SELECT * FROM {E} WHERE id % 2 = 0), b AS (SELECT * FROM {E} WHERE id % 2 = 1), s AS (SELECT a.id AS l, b.id AS r, a.label = b.label AS gold, {COS.format('a', 'b')} AS score FROM a, b), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS rank FROM s) WHERE rank <= 5)"
 
 
 def vectors(spark, d, where="true"):
     return V.table(spark, d, "embeddings").where(where).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def query_vectors(spark, d, n):
-    rows = V.table(spark, d, "embeddings").where(F.col("vec_id") < n).orderBy("vec_id").limit(n).collect()
-    return [list(r.embedding) for r in rows]
-
-
 def sides(spark, d):
     return vectors(spark, d, "vec_id % 2 = 0"), vectors(spark, d, "vec_id % 2 = 1")
 
@@ -36,27 +34,24 @@ def matches(spark, d, k=5):
 
 
 def words(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("term")).where(F.length("term") >= 4)
+    return V.table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("term"))
 
 
-def term_counts(spark, d, most=30):
-    return words(spark, d).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most)
+def vocabulary(spark, d):
+    """All terms, and in how many documents each stands."""
+    return words(spark, d).groupBy("term").agg(F.count("*").alias("n"))
 
 
 WORDS = "(SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)"
-COUNTS = f"w AS (SELECT * FROM {WORDS} WHERE length(term) >= 4), f AS (SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 30)"
-NGD = f"""{COUNTS}, p AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.term < y.term WHERE x.term IN (SELECT term FROM f) AND y.term IN (SELECT term FROM f) GROUP BY ALL),
-g AS (SELECT a, b, greatest(0, least(1, (ln(greatest(x.n, y.n)) - ln(p.n)) / (ln((SELECT count(*) FROM documents)) - ln(least(x.n, y.n))))) AS d FROM p JOIN f x ON x.term = a JOIN f y ON y.term = b)"""
+NGD = f"""w AS (SELECT * FROM {WORDS}), f AS (SELECT term, count(*) AS n FROM w GROUP BY term), q AS (SELECT term FROM f ORDER BY n DESC, term LIMIT 10),
+p AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.term <> y.term WHERE x.term IN (SELECT term FROM q) GROUP BY ALL),
+g AS (SELECT a, b, CASE WHEN ln((SELECT count(*) FROM documents)) - ln(least(x.n, y.n)) <= 0 THEN 1 ELSE greatest(0, least(1, (ln(greatest(x.n, y.n)) - ln(p.n)) / (ln((SELECT count(*) FROM documents)) - ln(least(x.n, y.n))))) END AS d FROM p JOIN f x ON x.term = a JOIN f y ON y.term = b)"""
 
 
 def ngd_pairs(spark, d):
-    counts, seen = term_counts(spark, d), words(spark, d)
-    kept = seen.join(F.broadcast(counts.select("term")), "term")
-    pairs = kept.withColumnRenamed("term", "a").join(kept.withColumnRenamed("term", "b"), "doc_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    of = lambda c: counts.select(F.col("term").alias(c), F.col("n").alias(f"n_{c}"))
-    total = V.table(spark, d, "documents").count()
-    rows = pairs.join(F.broadcast(of("a")), "a").join(F.broadcast(of("b")), "b")
-    return rows.select("a", "b", X.ngd(F.col("n_a"), F.col("n_b"), F.col("n"), F.lit(total)).alias("distance"))
+    """The ten commonest terms against all terms that stand with them in a document; counts are made once and cut."""
+    docs = V.table(spark, d, "documents")
+    return X.corpus_distances(words(spark, d), vocabulary(spark, d).orderBy(F.desc("n"), "term").limit(10), docs.count())
 
 
 def three_scores(spark, d):
@@ -73,26 +68,38 @@ def rounded(df, *names, digits=6):
     return df.select(*(F.round(c, digits).alias(c) if c in names else c for c in df.columns))
 
 
-def many(how, weights=None):
-    return lambda s, d: rounded(X.search_many(vectors(s, d), query_vectors(s, d, 3), 20, how, weights), "score")
+def queries(spark, d):
+    """Every vector whose id is divisible by 20; weighted by its label."""
+    return vectors(spark, d, "vec_id % 20 = 0").withColumn("weight", F.col("label") + 1.0)
+
+
+def many(how):
+    return lambda s, d: rounded(X.fused_search(vectors(s, d, "vec_id % 20 <> 0").select("id", "vector"), queries(s, d), 20, how), "score")
 
 
 def many_sql(score):
-    return f"WITH q AS (SELECT id AS qid, v AS q FROM {E} WHERE id < 3), c AS (SELECT e.id, max(CASE WHEN qid = 0 THEN list_cosine_similarity(v, q) END) AS s0, max(CASE WHEN qid = 1 THEN list_cosine_similarity(v, q) END) AS s1, max(CASE WHEN qid = 2 THEN list_cosine_similarity(v, q) END) AS s2 FROM {E} e, q GROUP BY e.id) SELECT id, round({score}, 6) AS score FROM c ORDER BY {score} DESC, id LIMIT 20"
+    return f"WITH c AS (SELECT x.id, {score} AS score FROM {E} x, {E} y WHERE y.id % 20 = 0 AND x.id % 20 <> 0 GROUP BY x.id) SELECT id, round(score, 6) AS score FROM c ORDER BY c.score DESC, id LIMIT 20"
+
+
+TOP5 = f"SELECT \"left\", \"right\", round(score, 6) AS score, rank FROM (SELECT x.id AS \"left\", y.id AS \"right\", {XY} AS score, row_number() OVER (PARTITION BY x.id ORDER BY {XY} DESC, y.id) AS rank FROM {E} x, {E} y WHERE x.id % 20 = 0"
 
 
 QUERIES = {
     "T1_search": (
-        lambda s, d: rounded(X.search(vectors(s, d), query_vectors(s, d, 1)[0], 10), "score"),
-        f"SELECT id, round(x, 6) AS score FROM (SELECT id, list_cosine_similarity(v, (SELECT v FROM {E} WHERE id = 0)) AS x FROM {E}) ORDER BY x DESC, id LIMIT 10",
+        lambda s, d: rounded(X.best_matches(queries(s, d), vectors(s, d), 5), "score"),
+        f"{TOP5}) WHERE rank <= 5",
     ),
-    "T2_search_many_max": (many("max"), many_sql("greatest(s0, s1, s2)")),
-    "A7_search_many_mean": (many("mean"), many_sql("(s0 + s1 + s2) / 3")),
-    "A7_search_many_sum": (many("sum"), many_sql("(s0 + s1 + s2)")),
-    "A7_search_many_weighted": (many("weighted", [3.0, 2.0, 1.0]), many_sql("(s0 * 3 + s1 * 2 + s2) / 6")),
+    "T1_search_one": (
+        lambda s, d: rounded(X.search(vectors(s, d), list(vectors(s, d, "vec_id = 0").first().vector), 10), "score"),
+        f"SELECT id, round(x, 6) AS score FROM (SELECT x.id, {XY} AS x FROM {E} x, {E} y WHERE y.id = 0) ORDER BY x DESC, id LIMIT 10",
+    ),
+    "T2_search_many_max": (many("max"), many_sql(f"max({XY})")),
+    "A7_search_many_mean": (many("mean"), many_sql(f"avg({XY})")),
+    "A7_search_many_sum": (many("sum"), many_sql(f"sum({XY})")),
+    "A7_search_many_weighted": (many("weighted"), many_sql(f"sum({XY} * (y.label + 1)) / (sum(y.label + 1) + 1e-9)")),
     "T3_filtered_search": (
-        lambda s, d: rounded(X.search(vectors(s, d, "label = 3"), query_vectors(s, d, 1)[0], 5), "score"),
-        f"SELECT id, round(x, 6) AS score FROM (SELECT id, list_cosine_similarity(v, (SELECT v FROM {E} WHERE id = 0)) AS x FROM {E} WHERE label = 3) ORDER BY x DESC, id LIMIT 5",
+        lambda s, d: rounded(X.best_matches(queries(s, d), vectors(s, d).where(L.has_prefix(F.array(F.concat(F.lit("urn:"), "label"), F.concat(F.lit("urn:x"), "label")), ["urn:3", "urn:4"])), 5), "score"),
+        f"{TOP5} AND y.label IN (3, 4)) WHERE rank <= 5",
     ),
     "T4_upsert": (
         lambda s, d: X.upserted(vectors(s, d).select("id", "vector"), vectors(s, d, "vec_id < 50").select((F.col("id") + 475).alias("id"), "vector"), 64).select("id", F.round(F.get("vector", F.lit(0)), 5).alias("x")),
@@ -100,11 +107,11 @@ QUERIES = {
     ),
     "T5_top_similar_pairs": (
         lambda s, d: rounded(X.best_pairs(vectors(s, d), vectors(s, d), 25, upper=True), "score"),
-        f"SELECT x.id AS \"left\", y.id AS \"right\", round(list_cosine_similarity(x.v, y.v), 6) AS score FROM {E} x JOIN {E} y ON x.id < y.id ORDER BY list_cosine_similarity(x.v, y.v) DESC, x.id, y.id LIMIT 25",
+        f"SELECT x.id AS \"left\", y.id AS \"right\", round({XY}, 6) AS score FROM {E} x JOIN {E} y ON x.id < y.id ORDER BY {XY} DESC, x.id, y.id LIMIT 25",
     ),
     "T7_pairwise_similarity": (
-        lambda s, d: vectors(s, d, "vec_id < 30").select(F.col("id").alias("i"), F.col("vector").alias("a")).join(vectors(s, d, "vec_id < 30").select(F.col("id").alias("j"), F.col("vector").alias("b")), F.col("i") <= F.col("j")).select("i", "j", F.round(X.cosine(F.col("a"), F.col("b")), 6).alias("score")),
-        f"SELECT x.id AS i, y.id AS j, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM {E} x JOIN {E} y ON x.id <= y.id WHERE x.id < 30 AND y.id < 30",
+        lambda s, d: rounded(X.pair_scores(vectors(s, d), vectors(s, d), upper=True), "score"),
+        f"SELECT x.id AS \"left\", y.id AS \"right\", round({XY}, 6) AS score FROM {E} x JOIN {E} y ON x.id < y.id",
     ),
     "T6_nearest_of_each": (
         lambda s, d: rounded(matches(s, d, 1), "score"),
@@ -116,7 +123,7 @@ QUERIES = {
     ),
     "J7_upper_triangle": (
         lambda s, d: X.best_matches(vectors(s, d), vectors(s, d), 3, least=0.3, upper=True).select("left", "right", "rank"),
-        f"SELECT * FROM (SELECT x.id AS \"left\", y.id AS \"right\", row_number() OVER (PARTITION BY x.id ORDER BY list_cosine_similarity(x.v, y.v) DESC, y.id) AS rank FROM {E} x JOIN {E} y ON x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.3) WHERE rank <= 3",
+        f"SELECT * FROM (SELECT x.id AS \"left\", y.id AS \"right\", row_number() OVER (PARTITION BY x.id ORDER BY {XY} DESC, y.id) AS rank FROM {E} x JOIN {E} y ON x.id < y.id WHERE {XY} >= 0.3) WHERE rank <= 3",
     ),
     "A8_alignment_prf": (
         lambda s, d: rounded(M.overlap(matches(s, d).selectExpr("left AS l", "right AS r"), gold(s, d).selectExpr("left AS l", "right AS r")), "precision", "recall", "f1"),
@@ -160,11 +167,7 @@ QUERIES = {
         lambda s, d: ngd_pairs(s, d).select("a", "b", F.round(1 - F.col("distance"), 6).alias("score")).orderBy(F.desc("score"), "a", "b").limit(20),
         f"WITH {NGD} SELECT a, b, round(1 - d, 6) AS score FROM g ORDER BY score DESC, a, b LIMIT 20",
     ),
-    "A20_vocabulary": (lambda s, d: term_counts(s, d), f"WITH {COUNTS} SELECT term, n FROM f"),
-    "S27_corpus_hits": (
-        lambda s, d: V.table(s, d, "documents").agg(*(F.count_if(F.contains(F.lower("text"), F.lit(t))).alias(f"hits_{t}") for t in ("that", "quelle", "license"))),
-        "SELECT count(*) FILTER (contains(lower(text), 'that')) AS hits_that, count(*) FILTER (contains(lower(text), 'quelle')) AS hits_quelle, count(*) FILTER (contains(lower(text), 'license')) AS hits_license FROM documents",
-    ),
+    "A20_vocabulary": (lambda s, d: vocabulary(s, d), f"SELECT term, count(*) AS n FROM {WORDS} GROUP BY term"),
     "N5_clamped_cosine": (
         lambda s, d: matches(s, d).select("left", "right", F.round(X.clamped(F.col("score")), 6).alias("score")),
         f"WITH {AB} SELECT l AS \"left\", r AS \"right\", round(greatest(0, least(1, score)), 6) AS score FROM m",
@@ -179,8 +182,8 @@ QUERIES = {
         "SELECT n_name, coalesce(r_regionkey * 10 + 5, 1000) AS n FROM nation LEFT JOIN region ON r_regionkey = n_nationkey",
     ),
     "N11_generated_counts": (
-        lambda s, d: term_counts(s, d).withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "term")) - 1).select("term", F.greatest(F.lit(1), F.floor(10000 * F.pow(F.lit(0.9), F.col("rank"))).cast("int")).alias("n")),
-        f"WITH {COUNTS} SELECT term, CAST(greatest(1, floor(10000 * pow(0.9, row_number() OVER (ORDER BY n DESC, term) - 1))) AS INTEGER) AS n FROM f",
+        lambda s, d: X.positions(vocabulary(s, d), [F.desc("n"), F.col("term")], "rank").select("term", F.greatest(F.lit(1), F.floor(10000 * F.pow(F.lit(0.9), F.col("rank") - 1)).cast("int")).alias("n")),
+        f"SELECT term, CAST(greatest(1, floor(10000 * pow(0.9, row_number() OVER (ORDER BY count(*) DESC, term) - 1))) AS INTEGER) AS n FROM {WORDS} GROUP BY term",
     ),
     "W1_rank_comparison": (
         lambda s, d: X.ranked(three_scores(s, d)).select("left", "right", "cosine_rank", "corpus_rank", "hybrid_rank"),

@@ -39,12 +39,15 @@ def fact_checked(triples: DataFrame, verdicts: DataFrame) -> DataFrame:
     return triples.join(verdicts.where("NOT verdict"), ["s", "p", "o"], "left_anti")
 
 
-def limited_closure(edges: DataFrame, most: int | None) -> tuple[DataFrame, bool]:
-    """New edges of the closure; with a limit, the first in (src, tgt) order, and whether some were left out."""
-    new = cut(G.closure(edges).where("src <> tgt").join(edges.select("src", "tgt"), ["src", "tgt"], "left_anti"), "new")
+def limited_closure(edges: DataFrame, most: int | None, reach: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """New edges of the closure (reach, if it is known); with a limit, the first in (src, tgt) order, and whether some were left out."""
+    reach = G.closure(edges) if reach is None else reach
+    new = reach.where("src <> tgt").join(edges.select("src", "tgt"), ["src", "tgt"], "left_anti")
     if most is None:
         return new, False
-    return new.orderBy("src", "tgt").limit(max(0, most)), new.count() > max(0, most)
+    kept = new.orderBy("src", "tgt").limit(max(0, most) + 1)
+    kept = cut(kept, "limited")
+    return kept.orderBy("src", "tgt").limit(max(0, most)), kept.count() > max(0, most)
 
 
 def refine(triples: DataFrame, rules: P.Rules = P.DEFAULT, close: bool = True, reduce: bool = True, most_new: int | None = None, types: DataFrame | None = None, verdicts: DataFrame | None = None) -> Refined:
@@ -55,19 +58,21 @@ def refine(triples: DataFrame, rules: P.Rules = P.DEFAULT, close: bool = True, r
     if after < before:
         notes.append(("normalize", "triples_removed", before - after))
     resolved = rules.resolved()
-    for p in sorted(resolved.transitive) if close or reduce else ():
+    present = {r.p for r in known.where(F.col("p").isin(*sorted(resolved.transitive))).select("p").distinct().collect()} if close or reduce else ()
+    for p in sorted(present):
         edges = cut(known.where((F.col("p") == p) & (F.col("s") != F.col("o"))).select(F.col("s").alias("src"), F.col("o").alias("tgt")), "relation")
         rest = known.where((F.col("p") != p) | (F.col("s") == F.col("o")))
-        _, cyclic = G.peeled(edges)
+        reach = G.closure(edges)
+        cyclic = not reach.where("src = tgt").isEmpty()
         if close:
-            new, short = limited_closure(edges, most_new)
-            edges = cut(edges.unionByName(new), "closed")
+            new, short = limited_closure(edges, most_new, reach)
+            edges = edges.unionByName(new) if not reduce or cyclic else edges  # a reduction of the closure is one of the edges
             if short:
                 notes.append(("transitive_closure", "closure_truncated", most_new))
         if cyclic:
             notes.append(("transitive_reduction" if reduce else "transitive_closure", "cycle_detected", 1))
         if reduce and not cyclic:
-            edges = G.reduction(edges)
+            edges = G.reduction(edges, reach)
         known = cut(rest.unionByName(edges.select(F.col("src").alias("s"), F.lit(p).alias("p"), F.col("tgt").alias("o"))), "refined")
     if types is not None:
         valid = cut(domain_valid(known, types, resolved.domain_range).select("s", "p", "o"), "valid")
@@ -150,3 +155,62 @@ def lint(triples: DataFrame, schema: DataFrame) -> DataFrame:
 def exit_code(report: DataFrame) -> int:
     """2 for a FAIL, 1 for a WARN, else 0."""
     return report.agg(F.max(F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "WARN", 1).otherwise(0))).first()[0] or 0
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """rows with what metadata (key, ...) says of them, null where it says nothing; the least row of a repeated key counts."""
+    fields = [c for c in metadata.columns if c != key]
+    one = metadata.groupBy(key).agg(F.min(F.struct(*fields)).alias("_m")).select(key, "_m.*")
+    return rows.join(one, key, "left")
+
+
+def merged_metadata(tables: list[DataFrame], key: str, column: str) -> DataFrame:
+    """key and the values (arrays) of all tables, each once, in the order of the tables and of each list."""
+    parts = [t.select(key, F.lit(i).alias("_t"), F.col(column).alias("_v")) for i, t in enumerate(tables)]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.union(more)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_t", "_v"))), lambda x: x["_v"])
+    return rows.groupBy(key).agg(F.array_distinct(F.flatten(ordered)).alias(column))
+
+
+def extract(triples: DataFrame, subject: str | None = None, literals: bool = True, blank: bool = True) -> DataFrame:
+    """s, p, o of triples (s, p, o, kind) in order: of one subject, without literals, without blank nodes, as asked."""
+    rows = triples if subject is None else triples.where(F.col("s") == subject)
+    if not literals:
+        rows = rows.where("kind <> 'literal'")
+    if not blank:
+        rows = rows.where("kind <> 'bnode'").where(~F.startswith("s", F.lit("_:")))
+    return rows.select("s", "p", "o").orderBy("s", "p", "o")
+
+
+def node_report(triples: DataFrame) -> DataFrame:
+    """id and, by relation, what is said of each subject or object: types, labels, synonyms, definitions, comments, parents, children, equivalents, disjoint classes, uses."""
+    said = lambda *names: F.array_sort(F.collect_set(F.when(F.col("name").isin(*names) & F.col("out"), F.col("other"))))
+    name = P.canonical(F.col("p"))
+    rows = triples.select(F.col("s").alias("id"), name.alias("name"), F.col("o").alias("other"), F.lit(True).alias("out"), P.is_hierarchy(F.col("p")).alias("up"))
+    if "kind" in triples.columns:
+        triples = triples.where("kind <> 'literal'")
+    into = triples.select(F.col("o").alias("id"), name.alias("name"), F.col("s").alias("other"), F.lit(False).alias("out"), P.is_hierarchy(F.col("p")).alias("up"))
+    return rows.unionByName(into).groupBy("id").agg(
+        said("type").alias("types"), said("label", "preflabel").alias("labels"), said("altlabel", "hasexactsynonym", "hasrelatedsynonym").alias("synonyms"),
+        said("definition", "iao_0000115").alias("definitions"), said("comment").alias("comments"),
+        F.array_sort(F.collect_set(F.when(F.col("up") & F.col("out"), F.col("other")))).alias("parents"),
+        F.array_sort(F.collect_set(F.when(F.col("up") & ~F.col("out"), F.col("other")))).alias("children"),
+        said("equivalentclass", "sameas", "exactmatch").alias("equivalents"), said("disjointwith").alias("disjoint"),
+        F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in"),
+    )
+
+
+def live(records: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+    """What a cache that is rebuilt from its log holds: of each key the newest record, if its status is live."""
+    newest = records.groupBy(key).agg(F.max_by(F.struct(*(c for c in records.columns if c != key)), order).alias("_r"))
+    return newest.where("_r.status = 'live'").select(key, "_r.*")
+
+
+def summary(triples: DataFrame) -> DataFrame:
+    """Classes, relations and statements of an ontology, in one pass over its distinct triples."""
+    rows = triples.select("s", "p", "o").distinct()
+    ends = rows.select(F.explode(F.array(F.struct(F.col("s").alias("x"), F.lit(0).alias("k")), F.struct(F.col("o").alias("x"), F.lit(0).alias("k")), F.struct(F.col("p").alias("x"), F.lit(1).alias("k")))).alias("e")).select("e.*")
+    kinds = ends.distinct().agg(F.count_if(F.col("k") == 0).alias("classes"), F.count_if(F.col("k") == 1).alias("relations"))
+    return kinds.crossJoin(rows.agg(F.count("*").alias("statements")))  # one row each

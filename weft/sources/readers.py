@@ -9,6 +9,8 @@ from __future__ import annotations
 import bz2
 import fnmatch
 import gzip
+import hashlib
+import json
 import re
 from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
@@ -40,12 +42,12 @@ def parse_format(value: str) -> str:
     return ALIASES.get(value, value)
 
 
-def select_config(rules: list[Mapping], path: str, form: str | None = None) -> Mapping:
-    """The first rule whose pattern (and format, if it names one) fits; namespaces are merged under it."""
+def select_config(rules: list[Mapping], path: str, form: str | None = None, common: Mapping[str, str] | None = None) -> Mapping:
+    """The first rule whose pattern (and format, if it names one) fits, with the namespaces of the whole (given as common) under its own."""
     for rule in rules:
         if fnmatch.fnmatch(path, rule.get("pattern", "*")) and rule.get("format", form) == form:
-            return rule
-    return {}
+            return {**rule, "namespaces": {**(common or {}), **rule.get("namespaces", {})}}
+    return {"namespaces": dict(common or {})}
 
 
 def decoded(raw: bytes, path: str = "") -> str:
@@ -63,38 +65,68 @@ def decoded(raw: bytes, path: str = "") -> str:
 
 
 def unescaped(text: Column) -> Column:
-    """The escapes of N-Triples literals, besides numeric ones."""
-    for old, new in (("\\\\", "\0"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\0", "\\")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+    """The escapes of N-Triples, numeric ones too."""
+    plain = text
+    for old, new in (("\\\\", "\0"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ("\\'", "'")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    # cut before each numeric escape; each part begins with its digits, then goes on as it is
+    number = lambda digits: F.conv(digits, 16, 10).cast("int")
+    utf16 = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")
+    pair = lambda c: F.decode(F.unhex(F.concat(F.lpad(F.hex(F.floor((c - 65536) / 1024) + 55296), 4, "0"), F.lpad(F.hex((c - 65536) % 1024 + 56320), 4, "0"))), "UTF-16BE")
+    char = lambda digits: F.when(number(digits) < 65536, utf16(number(digits))).otherwise(pair(number(digits)))
+    parts = F.split(plain, r"(?=\\u[0-9A-Fa-f]{4})|(?=\\U[0-9A-Fa-f]{8})")
+    size = lambda p: F.when(p.rlike(r"^\\u[0-9A-Fa-f]{4}"), 4).when(p.rlike(r"^\\U[0-9A-Fa-f]{8}"), 8).otherwise(0)
+    one = lambda p: F.when(size(p) > 0, F.concat(char(F.substring(p, F.lit(3), size(p))), F.substring(p, size(p) + 3, F.length(p)))).otherwise(p)
+    done = F.when(plain.rlike(r"\\[uU]"), F.array_join(F.transform(parts, one), "")).otherwise(plain)
+    return F.replace(done, F.lit("\0"), F.lit("\\"))
+
+
+_NTRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+
+
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """file and line of what ntriples() passes over: lines that are no triple, no comment and not blank."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return rows.where(~F.col("line").rlike(_NTRIPLE) & ~F.col("line").rlike(r"^\s*(#.*)?$"))
+
+
+def own_name(node: Column, file: Column) -> Column:
+    """A blank node's name, unique beyond its file."""
+    return F.when(F.startswith(node, F.lit("_:")), F.concat(F.lit("_:"), F.substring(F.md5(file.cast("binary")), 1, 12), F.lit("-"), F.substring(node, F.lit(3), F.length(node)))).otherwise(node)
 
 
 def ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """s, p, o and kind of the object (iri, bnode, literal); language and datatype are dropped; other lines go."""
-    line = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
-    rows = spark.read.text(path).where(F.col("value").rlike(line))
+    """s, p, o and kind of the object (iri, bnode, literal); language and datatype are dropped; see malformed() for other lines.
+
+    Blank nodes get names of their own in each file.
+    """
+    line = _NTRIPLE
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.col("value").rlike(line))
     part = lambda i: F.regexp_extract("value", line, i)
     bare = lambda c: F.regexp_replace(c, "^<|>$", "")
     o = part(3)
     literal = F.startswith(o, F.lit('"'))
     text = unescaped(F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1))
     kind = F.when(literal, "literal").when(F.startswith(o, F.lit("_:")), "bnode").otherwise("iri")
-    return rows.select(bare(part(1)).alias("s"), part(2).alias("p"), F.when(literal, text).otherwise(bare(o)).alias("o"), kind.alias("kind"))
+    node = lambda c: own_name(unescaped(bare(c)), F.col("file"))
+    return rows.select(node(part(1)).alias("s"), unescaped(part(2)).alias("p"), F.when(literal, text).otherwise(node(o)).alias("o"), kind.alias("kind"))
 
 
 def whole_files(spark: SparkSession, path: str, parse) -> DataFrame:
-    """Triples that parse(text) yields for each file under path."""
+    """Triples that parse(text) yields for each file under path; blank nodes get names of their own in each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(parse(decoded(raw, name)))
+                mark = hashlib.md5(name.encode()).hexdigest()[:12]
+                own = lambda x, mark=mark: f"_:{mark}-{x[2:]}" if x.startswith("_:") else x
+                rows = [(own(s), p, own(o) if kind == "bnode" else o, kind) for s, p, o, kind in parse(decoded(raw, name))]
                 yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["s", "p", "o", "kind"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, TRIPLES)
 
 
-_TOKEN = re.compile(r'\s+|#[^\n]*|(?P<iri><[^>]*>)|(?P<long>"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\')|(?P<text>"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')|(?P<tag>@[A-Za-z][A-Za-z0-9-]*|\^\^)|(?P<mark>[;,.\[\]()])|(?P<word>[^\s;,\[\]()<>"\']+)', re.S)
+_TOKEN = re.compile(r'\s+|#[^\n]*|(?P<iri><[^>]*>)|(?P<long>"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\')|(?P<text>"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')|(?P<tag>@[A-Za-z][A-Za-z0-9-]*|\^\^)|(?P<mark>[;,.\[\](){}])|(?P<word>[^\s;,\[\](){}<>"\']+)', re.S)
 _ESCAPES = {"t": "\t", "n": "\n", "r": "\r", '"': '"', "'": "'", "\\": "\\"}
 
 
@@ -110,7 +142,7 @@ def _tokens(text: str) -> list[tuple[str, str]]:
 
 
 def parse_turtle(text: str) -> Iterator[tuple[str, str, str, str]]:
-    """Turtle: prefixes, a, lists of objects and properties, blank nodes, collections, literals; graph names are not supported."""
+    """Turtle and TriG: prefixes, a, lists of objects and properties, blank nodes, collections, literals; graphs are joined, their names dropped."""
     tokens, prefixes, base, at, blank = _tokens(text), {}, "", 0, 0
     out: list[tuple[str, str, str, str]] = []
 
@@ -160,7 +192,7 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str, str]]:
 
     def properties(node: str) -> None:
         nonlocal at
-        while tokens[at][1] not in (".", "]"):
+        while tokens[at][1] not in (".", "]", "}"):
             if tokens[at][1] == ";":
                 at += 1
                 continue
@@ -184,9 +216,15 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str, str]]:
                 at += 2
             at += at < len(tokens) and tokens[at][1] == "."
             continue
+        if head == "}" or tokens[at] == ("mark", "."):
+            at += 1
+            continue
+        if head == "{" or head == "graph" or (at + 1 < len(tokens) and tokens[at + 1][1] == "{"):
+            at += 1 if head == "{" else 3 if head == "graph" else 2
+            continue
         node, _ = term()
         properties(node)
-        at += 1
+        at += tokens[at][1] == "." if at < len(tokens) else 0
     yield from out
 
 
@@ -235,12 +273,130 @@ def parse_rdfxml(text: str) -> Iterator[tuple[str, str, str, str]]:
         yield from found
 
 
+def parse_trix(text: str) -> Iterator[tuple[str, str, str, str]]:
+    """TriX: graphs of triples of uri, id, plainLiteral and typedLiteral; graphs are joined."""
+    local = lambda e: e.tag.rpartition("}")[2]
+
+    def term(e: ElementTree.Element) -> tuple[str, str]:
+        said = e.text or ""
+        return {"uri": (said.strip(), "iri"), "id": (f"_:{said.strip()}", "bnode")}.get(local(e), (said, "literal"))
+
+    for e in ElementTree.fromstring(text).iter():
+        if local(e) == "triple":
+            (s, _), (p, _), (o, kind) = map(term, e)
+            yield s, p, o, kind
+
+
+def parse_jsonld(text: str) -> Iterator[tuple[str, str, str, str]]:
+    """JSON-LD: contexts in the text (prefixes, terms, @vocab, @base, @type: @id), @id, @type, @value, @list, @set, @graph, @reverse,
+    nested nodes; a context elsewhere is an error.
+    """
+    blank = 0
+
+    def fresh() -> str:
+        nonlocal blank
+        blank += 1
+        return f"_:j{blank}"
+
+    def grown(context: dict, given) -> dict:
+        out = dict(context)
+        for part in given if isinstance(given, list) else [given]:
+            if isinstance(part, str):
+                raise ValueError(f"a context elsewhere is not read: {part}")
+            out |= part or {}
+        return out
+
+    def iri(name: str, context: dict, vocabulary: bool) -> str:
+        seen = set()
+        while name not in seen and isinstance(known := context.get(name), (str, dict)) and vocabulary:
+            seen.add(name)
+            name = known if isinstance(known, str) else known.get("@id", name)
+        prefix, colon, local = name.partition(":")
+        if colon and not local.startswith("//") and prefix in context:
+            base = context[prefix]
+            return iri(base if isinstance(base, str) else base["@id"], context, False) + local
+        if colon or name.startswith("@"):
+            return name
+        return context.get("@vocab" if vocabulary else "@base", "") + name
+
+    def value(x, context: dict, term: dict) -> Iterator:
+        """The object first, as (text, kind), then the triples that it brings."""
+        if isinstance(x, dict) and "@value" in x:
+            x = x["@value"]
+        elif isinstance(x, dict) and "@list" in x:
+            items = x["@list"]
+            cells = [fresh() for _ in items]
+            yield (cells[0], "bnode") if cells else (RDF + "nil", "iri")
+            for i, item in enumerate(items):
+                found = value(item, context, term)
+                o, kind = next(found)
+                yield cells[i], RDF + "first", o, kind
+                yield cells[i], RDF + "rest", cells[i + 1] if i + 1 < len(cells) else RDF + "nil", "bnode" if i + 1 < len(cells) else "iri"
+                yield from found
+            return
+        elif isinstance(x, dict):
+            found = node(x, context)
+            name = next(found)
+            yield name, "bnode" if name.startswith("_:") else "iri"
+            yield from found
+            return
+        if term.get("@type") in ("@id", "@vocab") and isinstance(x, str):
+            name = iri(x, context, term["@type"] == "@vocab")
+            yield name, "bnode" if name.startswith("_:") else "iri"
+        else:
+            yield x if isinstance(x, str) else json.dumps(x), "literal"
+
+    def node(x: dict, context: dict) -> Iterator:
+        context = grown(context, x["@context"]) if "@context" in x else context
+        name = iri(x["@id"], context, False) if isinstance(x.get("@id"), str) else fresh()
+        yield name
+        for key, said in x.items():
+            p = iri(key, context, True)
+            term = context.get(key) if isinstance(context.get(key), dict) else {}
+            items = [i for i in (said if isinstance(said, list) else [said]) if i is not None]
+            if p == "@graph":
+                for item in items:
+                    found = node(item, context)
+                    next(found)
+                    yield from found
+            elif p == "@type":
+                for item in items:
+                    yield name, RDF + "type", iri(item, context, True), "iri"
+            elif p == "@reverse":
+                for back, subjects in said.items():
+                    for item in subjects if isinstance(subjects, list) else [subjects]:
+                        found = node(item, context) if isinstance(item, dict) else iter([iri(item, context, False)])
+                        s = next(found)
+                        yield s, iri(back, context, True), name, "bnode" if name.startswith("_:") else "iri"
+                        yield from found
+            elif ":" in p and not p.startswith("@"):
+                for item in items:
+                    for inner in item["@set"] if isinstance(item, dict) and "@set" in item else [item]:
+                        if term.get("@container") == "@list" and not (isinstance(inner, dict) and "@list" in inner):
+                            continue
+                        found = value(inner, context, term)
+                        o, kind = next(found)
+                        yield name, p, o, kind
+                        yield from found
+                if term.get("@container") == "@list":
+                    found = value({"@list": items}, context, term)
+                    o, kind = next(found)
+                    yield name, p, o, kind
+                    yield from found
+
+    given = json.loads(text)
+    for x in given if isinstance(given, list) else [given]:
+        found = node(x, {})
+        next(found)
+        yield from found
+
+
 def triples(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
-    """s, p, o, kind of RDF files in N-Triples, Turtle or RDF/XML."""
+    """s, p, o, kind of RDF files (one, a folder or a pattern) in N-Triples, Turtle, N3, TriG, TriX, RDF/XML or JSON-LD."""
     form = parse_format(form) if form else format_of(path)
     if form == "nt":
         return ntriples(spark, path)
-    parsers = {"turtle": parse_turtle, "n3": parse_turtle, "xml": parse_rdfxml}
+    parsers = {"turtle": parse_turtle, "n3": parse_turtle, "trig": parse_turtle, "trix": parse_trix, "xml": parse_rdfxml, "json-ld": parse_jsonld}
     if form not in parsers:
         raise ValueError(f"no reader for {form}")
     return whole_files(spark, path, parsers[form])
