@@ -192,3 +192,42 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     return digests(format_conversations(rows.unionByName(extra)))
+
+
+def _oracle() -> str:
+    """The same by a recursion over turns: which window each is in, then what the windows repeat."""
+    controls = "|".join(c.replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in CONTROL)
+    escaped = lambda x: rf"regexp_replace({x}, '(\\*)({controls})', '\1\\\1\2', 'g')"
+    frame, said = len(START) + len(END) + 3, CONTROL[3] + CONTROL[4] + " ok " + CONTROL[5]
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k
+  FROM (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}')))
+), c AS (
+  SELECT *, (octet_length(encode(text)) + 3) // 4 + 4 AS cost,
+    length({escaped("replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), chr(92), '%5C')")}) + length({escaped("text")}) + {frame} AS size FROM t
+), sys AS (
+  SELECT conv_id, cost AS sys_cost, size AS sys_size FROM c WHERE k = 0 AND role = 'system'
+), w(conv_id, k, a, used) AS (
+  SELECT conv_id, k, CAST(0 AS BIGINT), CAST(cost AS BIGINT) FROM c WHERE k = 0
+  UNION ALL
+  SELECT conv_id, k, CASE WHEN over THEN k ELSE a END, CASE WHEN over THEN cost ELSE used + cost END FROM (
+    SELECT c.conv_id, c.k, w.a, w.used, c.cost, w.used + c.cost + CASE WHEN w.a > 0 THEN coalesce(sys_cost, 0) ELSE 0 END > {BUDGET} AS over
+    FROM w JOIN c ON c.conv_id = w.conv_id AND c.k = w.k + 1 LEFT JOIN sys ON sys.conv_id = w.conv_id)
+), win AS (
+  SELECT w.conv_id, w.a, {BUDGET} - max(used) - coalesce(any_value(sys_cost), 0) AS room, coalesce(any_value(sys_size), 0) AS sys_size, CASE WHEN any_value(sys_cost) IS NULL THEN 0 ELSE 1 END AS least
+  FROM w LEFT JOIN sys ON sys.conv_id = w.conv_id WHERE w.a > 0 GROUP BY w.conv_id, w.a
+), again AS (
+  SELECT win.conv_id, sum(sys_size + CASE WHEN x.cost <= room THEN x.size + CASE WHEN y.cost <= room - x.cost THEN y.size ELSE 0 END ELSE 0 END) AS size
+  FROM win LEFT JOIN c x ON x.conv_id = win.conv_id AND x.k = a - 1 AND x.k >= least
+  LEFT JOIN c y ON y.conv_id = win.conv_id AND y.k = a - 2 AND y.k >= least GROUP BY win.conv_id
+), total AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss, sum(size) AS size FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(total.size + coalesce(again.size, 0) AS BIGINT) AS formatted_chars
+FROM total LEFT JOIN again USING (conv_id)
+"""
+
+
+ORACLE_SQL = _oracle()
