@@ -1,7 +1,9 @@
 """Operators against brute force and on odd inputs: nulls, empty and long texts, ties, repeats, clashing columns, empty tables."""
 
 import hashlib
+import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -233,6 +235,55 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in none} == {0.5} and quality.score_documents(empty, labels).count() == 0
 
 
+def test_context_sums_and_pooling(spark, monkeypatch):
+    """Context vectors and pooled features against sums over tokens one by one."""
+    monkeypatch.setattr(quality, "BUCKETS", 97)
+    rows = [(i, " ".join(random.Random(i).choice(["cat", "dog", "42", "$$", "a-b", "é"]) for _ in range(n))) for i, n in enumerate((0, 1, 2, 3, 9, 40))] + [(9, None)]
+    hashed = {}
+
+    def split(text):
+        out = []
+        for kind, run in itertools.groupby((text or "").encode(), key=lambda c: int(quality._CLASS[c])):
+            if kind:
+                raw = bytes(run)
+                h = hashed.setdefault(raw, quality.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0])
+                out.append(h)
+        return out
+
+    vector = lambda h: quality.index_vectors(np.array([h], np.uint64))[0]
+    sums = np.zeros((97, quality.SIZE))
+    for _, text in rows:
+        w = split(text)
+        for i, h in enumerate(w):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if j != i:
+                    sums[int(h) % 97] += vector(w[j])
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = quality.context_sums(table)
+    assert np.array_equal(found, sums) and all(np.abs(vector(h)).sum() == quality.NONZERO for h in hashed.values())
+    unit = quality.word_vectors(found)
+    raw = [(t or "").encode() for _, t in rows]
+    got = quality.pooled(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), unit)
+    for (_, text), x in zip(rows, got, strict=True):
+        w, want = split(text), np.zeros(quality.WIDTH)
+        for at, mine in ((0, w), (2 * quality.SIZE, list(dict.fromkeys(w)))):
+            if mine:
+                want[at : at + quality.SIZE] = np.mean([unit[int(h) % 97] for h in mine], axis=0)
+                want[at + quality.SIZE : at + 2 * quality.SIZE] = np.mean([vector(h) / 2 for h in mine], axis=0)
+        want[-2:] = np.log1p(len(w)), np.log1p(len(set(w)))
+        assert np.allclose(x, want, atol=1e-5)
+
+
+def test_quality_on_the_tables(spark):
+    """Held-out labels of the fixture: most bad documents are found, hardly a good one is lost."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the fixture tables")
+    out = quality.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    good, bad = [r.predicted for r in out if r.quality == 1], [r.predicted for r in out if r.quality == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.4 * len(bad)
+
+
 def test_rules(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1 if i % 4 else 0, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, kept int")
     found = {r.doc_id: r for r in rules.judged(docs, labels).collect()}

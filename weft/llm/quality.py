@@ -1,15 +1,16 @@
 """Operator 2: quality classifier on random-indexing word vectors.
 
-Tokens are runs of letters, of digits or of other visible bytes. Random indexing: tokens share
-BUCKETS rows by hash, and every row has a sparse ternary index vector and a context vector, the sum
-of the index vectors of its tokens' neighbours two to each side over all documents.
+Tokens are runs of letters, of digits or of other visible bytes. Random indexing: every token has a
+sparse ternary index vector, drawn from its own hash, and a context vector, the sum of the index
+vectors of its neighbours two to each side over all documents. Context vectors are kept in BUCKETS
+rows, which tokens share by hash, so the table has one size whatever the vocabulary.
 A document is pooled as the mean word vector over its tokens and over its distinct tokens, with the
 logarithms of both counts. A two-layer network, trained in numpy, scores the pooled vector; its
 logits are divided by a temperature fitted on rows that it was not trained on.
 
 Context vectors are summed over all documents, one partial row for each bucket and task, so what
-reaches the driver (BUCKETS x SIZE numbers) does not grow. The network is fitted on at most FIT_ROWS
-labelled documents, those of smallest hash; that bound is the parameter fit_rows.
+reaches the driver (BUCKETS x SIZE numbers, 8 MB) does not grow. The network is fitted on at most
+FIT_ROWS labelled documents, those of smallest hash; that bound is the parameter fit_rows.
 
 Defined results: null and empty texts pool to zeros and get that score; labels that disagree for a
 document count by their mean; labels that are null are ignored; without usable labels every score
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.core import buffer, keyed, mixed, slices, stretch_hash, tidied
+from weft.llm.core import ODD, buffer, keyed, mixed, slices, stretch_hash, tidied
 
 SIZE = 32
-BUCKETS = 4096
+BUCKETS = 1 << 16
 NONZERO = 4
+WIDTH = 4 * SIZE + 2
 FIT_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 400
@@ -56,11 +58,19 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return stretch_hash(data, start, end), np.searchsorted(start, at)
 
 
-def index_vectors() -> np.ndarray:
-    """Ternary vectors, one for each bucket."""
-    rng, out = np.random.default_rng(7), np.zeros((BUCKETS, SIZE), np.int32)
-    for row in out:
-        row[rng.choice(SIZE, NONZERO, replace=False)] = rng.choice([-1, 1], NONZERO)
+def index_places(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where each token's index vector is not zero, one place in each of NONZERO parts of it, and which sign stands there."""
+    width = SIZE // NONZERO
+    for k in range(NONZERO):
+        x = mixed(h + np.uint64(k + 1))
+        yield (x % np.uint64(width)).astype(np.int64) + width * k, np.where((x >> np.uint64(40)) & np.uint64(1), 1, -1)
+
+
+def index_vectors(h: np.ndarray) -> np.ndarray:
+    """Ternary vectors of tokens."""
+    out, row = np.zeros((len(h), SIZE), np.int32), np.arange(len(h))
+    for place, sign in index_places(h):
+        out[row, place] = sign
     return out
 
 
@@ -73,7 +83,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     names = [f"c{i}" for i in range(SIZE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total, used = index_vectors(), np.zeros((BUCKETS, SIZE), np.int64), False
+        total, used = np.zeros((BUCKETS, SIZE), np.int32), False
         for batch in batches:
             data, offsets = buffer(batch.column(0))
             for a, b in slices(offsets):
@@ -82,7 +92,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                     continue
                 used, at = True, bucket(h)
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                vectors, near = index[at], np.zeros((len(at), SIZE), np.int32)
+                vectors, near = index_vectors(h), np.zeros((len(at), SIZE), np.int32)
                 for d in (1, 2):
                     same = (row[d:] == row[:-d])[:, None]
                     near[d:] += vectors[:-d] * same
@@ -94,36 +104,39 @@ def context_sums(docs: DataFrame) -> np.ndarray:
             rows = np.flatnonzero(total.any(axis=1))
             yield pa.record_batch([pa.array(rows), *(pa.array(total[rows, i]) for i in range(SIZE))], ["bucket", *names])
 
-    sums = docs.select("text").mapInArrow(tidied(run), "bucket long, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names))
-    out = np.zeros((BUCKETS, SIZE), np.float32)
-    for r in sums.collect():
-        out[r[0]] = r[1:]
+    sums = docs.select("text").mapInArrow(tidied(run), "bucket long, " + ", ".join(f"{n} int" for n in names)).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names))
+    found, out = sums.toArrow(), np.zeros((BUCKETS, SIZE), np.float32)
+    if found.num_rows:
+        out[found.column("bucket").to_numpy()] = np.stack([found.column(n).to_numpy() for n in names], axis=1)
     return out
 
 
 def word_vectors(context: np.ndarray) -> np.ndarray:
-    """Unit context vectors beside unit index vectors, for each bucket."""
+    """Unit context vectors."""
     norm = np.sqrt((context**2).sum(axis=1, keepdims=True))
-    return np.hstack([context / np.maximum(norm, 1e-9), index_vectors() / np.sqrt(NONZERO)]).astype(np.float32)
+    return (context / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """A row of features for each text."""
-    width = vectors.shape[1]
-    out = np.zeros((len(offsets) - 1, 2 * width + 2), np.float32)
+    """A row of features for each text: means of context and of index vectors over its tokens, then over its distinct tokens, and both counts."""
+    out = np.zeros((len(offsets) - 1, WIDTH), np.float32)
     for a, b in slices(offsets):
         h, first = tokens(data, offsets[a : b + 1])
-        n = np.diff(first)
-        row = np.repeat(np.arange(b - a), n)
-        own = mixed(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, kept = np.unique(own, return_index=True)
+        n, many = np.diff(first), b - a
+        row = np.repeat(np.arange(many), n)
+        _, kept = np.unique(mixed(h + row.astype(np.uint64) * ODD), return_index=True)
         kept.sort()
-        types = np.bincount(row[kept], minlength=b - a)
-        for column, at, size in ((0, h, n), (width, h[kept], types)):
+        types = np.bincount(row[kept], minlength=many)
+        for column, at, of, size in ((0, h, row, n), (2 * SIZE, h[kept], row[kept], types)):
             some = np.flatnonzero(size)
-            if len(some):
-                edge = np.concatenate([[0], np.cumsum(size)])[some]
-                out[a + some, column : column + width] = np.add.reduceat(vectors[bucket(at)], edge, axis=0) / size[some, None]
+            if not len(some):
+                continue
+            edge = np.concatenate([[0], np.cumsum(size)])[some]
+            out[a + some, column : column + SIZE] = np.add.reduceat(vectors[bucket(at)], edge, axis=0) / size[some, None]
+            index = np.zeros(many * SIZE)
+            for place, sign in index_places(at):
+                index += np.bincount(of * SIZE + place, sign, many * SIZE)
+            out[a:b, column + SIZE : column + 2 * SIZE] = index.reshape(many, SIZE) / (np.maximum(size, 1)[:, None] * np.sqrt(NONZERO))
         out[a:b, -2], out[a:b, -1] = np.log1p(n), np.log1p(types)
     return out
 
@@ -191,8 +204,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     ids = spark.createDataFrame([(i,) for i in sorted(mark)], "doc_id long")
     rows = docs.join(F.broadcast(ids), "doc_id").mapInArrow(tidied(features), "doc_id long, x binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
-    width = 2 * vectors.shape[1] + 2
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), width) if rows else np.zeros((0, width), np.float32)
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), WIDTH) if rows else np.zeros((0, WIDTH), np.float32)
     network = Network(x, np.array([mark[r.doc_id] for r in rows], np.float64)) if rows else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
