@@ -68,3 +68,15 @@ def test_stages(spark):
     path, pattern = bpe.vocabulary()
     known = tiktoken.Encoding("known", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     assert {r.doc_id: list(r.ids) for r in encoded.collect()} == {d: known.encode_ordinary(t) for d, t in left.items()}
+
+
+def test_stages_on_odd_tables(spark):
+    """Each stage alone on nulls, empty and repeated rows, further columns, and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, chunk int"
+    rows = [(1, None, None, None, None, 0.1, 1), (2, "", "en", "s", 0, 0.2, 2), (3, "b", "en", "s", 1, 0.3, 3), (3, "a longer one", None, "s", 1, 0.4, 4), (None, "lost", "en", "s", 4, 0.5, 5)]
+    docs = spark.createDataFrame(rows, schema)
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, SF).collect()
+        assert len({r.doc_id for r in found}) == len(found) and {r.doc_id for r in found} <= {1, 2, 3}
+        assert at == 0 or {r.doc_id for r in found} == {1, 2, 3}
+        assert stage(spark, docs.limit(0), SF).count() == 0
