@@ -48,10 +48,11 @@ def test_refine_cycle(spark):
 
 
 def test_refine_domain(spark):
-    rules = P.DEFAULT.merged({"domain_range": {"teaches": {"domain": ["Person"], "range": ["Course"]}}})
-    types = spark.createDataFrame([("rock", ["Mineral"]), ("ann", ["Person"])], "id string, types array<string>")
-    out = refine.refine(triples(spark, ("rock", "teaches", "math"), ("ann", "teaches", "math")), rules, types=types)
-    assert rows(out.triples) == [("ann", "teaches", "math")] and "domain_mismatch" in codes(out)
+    rules = P.DEFAULT.merged({"domain_range": {"drains": {"domain": ["Vein", "Duct"], "range": ["Organ"]}}})
+    types = spark.createDataFrame([("femur", ["Bone"]), ("portal", ["Vein", "Vessel"]), ("liver", ["Organ"]), ("air", ["Gas"])], "id string, types array<string>")
+    said = [("femur", "drains", "liver"), ("portal", "drains", "liver"), ("portal", "drains", "air"), ("unheard", "drains", "of")]
+    out = refine.refine(triples(spark, *said), rules, types=types)
+    assert rows(out.triples) == [said[1], said[3]] and "domain_mismatch" in codes(out)
 
 
 def test_refine_limit(spark):
@@ -67,9 +68,9 @@ def test_refine_denied(spark):
 
 
 def test_normalize_golden(spark):
-    rules = P.DEFAULT.merged({"normalize": {"contains": "has_part"}, "drop": ["ignored"], "grammar": {"mentors": "is_mentored_by"}})
-    found = rows(P.normalized(triples(spark, ("whole", "contains", "piece"), ("teacher", "mentors", "student"), ("a", "ignored", "b"), ("", "is_a", "b")), rules).select("s", "p", "o"))
-    assert found == [("piece", "part_of", "whole"), ("student", "is_mentored_by", "teacher")]
+    rules = P.DEFAULT.merged({"normalize": {"holds": "has_part"}, "drop": ["noted"], "grammar": {"feeds": "was_fed_by"}})
+    found = rows(P.normalized(triples(spark, ("crate", "holds", "apple"), ("cow", "feeds", "calf"), ("x", "noted", "y"), (" ", "is_a", "y"), ("x", "is_a", "")), rules).select("s", "p", "o"))
+    assert found == [("apple", "part_of", "crate"), ("calf", "was_fed_by", "cow")]
 
 
 def test_bisimulation_golden(spark):
@@ -113,8 +114,9 @@ def test_vector_golden(spark):
 def test_corpus_distance_golden(spark):
     one = spark.range(1)
     value = lambda *a: one.select(X.ngd(*(F.lit(x) for x in a)).alias("d")).first().d
-    assert abs(value(100, 50, 10, 1000) - 0.768622) < 1e-6 and value(0, 50, 10, 1000) == 1.0 and value(10, 10, 10, 10) == 1.0
-    assert one.select(X.hybrid(F.lit(0.8), F.lit(0.2), 0.5).alias("h")).first().h == 0.5
+    # (ln 64 - ln 4) / (ln 4096 - ln 16) = 4 ln 2 / 8 ln 2
+    assert abs(value(64, 16, 4, 4096) - 0.5) < 1e-12 and value(7, 0, 3, 90) == 1.0 and value(9, 9, 9, 9) == 1.0 and value(2, 90, 1, 91) == 1.0
+    assert abs(one.select(X.hybrid(F.lit(0.9), F.lit(0.1), 0.25).alias("h")).first().h - 0.7) < 1e-12
 
 
 def test_rank_golden(spark):
@@ -124,12 +126,14 @@ def test_rank_golden(spark):
 
 
 def test_tuples_golden(spark):
-    table = spark.createDataFrame([("domestic_dog", "is_a", "animal"), ("Dog", "isA", "Animal"), ("Animal", "sameAs", "Animal")], "source string, relation string, target string")
-    assert ("Domestic Dog", "isA", "Animal") in rows(U.normalized(table))
-    found = {(r.source, r.relation): r for r in U.evaluated(table).collect()}
-    dog, same = found["Dog", "isA"], found["Animal", "sameAs"]
-    assert (dog.semantic, round(dog.graph, 6), round(dog.confidence, 6), round(dog.overall, 6)) == (0.0, 0.72, 0.363333, 0.19632)
-    assert (same.semantic, same.graph, round(same.confidence, 6), round(same.overall, 6)) == (1.0, 1.0, 0.866667, 0.933333)
+    table = spark.createDataFrame([("left_heart_valve", "is_a", "valve"), ("Left Heart Valve", "isA", "Valve")], "source string, relation string, target string")
+    assert rows(U.normalized(table)) == [("Left Heart Valve", "isA", "Valve")] * 2
+    r = U.evaluated(table.where("relation = 'isA'")).first()
+    # one of three words and contained: 1/3 + 0.3; above 0.5 the relation keeps its weight
+    semantic, graph = 1 / 3 + 0.3, 0.9
+    sure = ((semantic + graph) / 2 + 1 - (graph - semantic) + min(1, (16 + 5) / 20)) / 3
+    whole = min(1, (0.6 * semantic + 0.4 * graph) * (0.5 + 0.5 * sure))
+    assert all(abs(a - b) < 1e-9 for a, b in zip((r.semantic, r.graph, r.confidence, r.overall), (semantic, graph, sure, whole), strict=True))
     assert rows(U.statistics(U.evaluated(table.limit(0)))) == [(0, 0.0, 0.0, 0.0, 0.0, 0.0)]
 
 
@@ -162,7 +166,7 @@ def test_usage_golden(spark):
 
 
 def test_online_golden(spark):
-    lanes = lambda e, *u: [x["lane"] for x in online.apply_updates(set(e), [{"source": s, "target": t, "confidence": c} for s, t, c in u])]
+    lanes = lambda e, *u: [x["lane"] for x in online.refine_graph(online.ClassGraph(e), [{"source": s, "target": t, "confidence": c} for s, t, c in u])]
     assert lanes([("root", "leaf")], ("root", "new", 9.0)) == ["applied"]
     assert sorted(lanes([("root", "middle"), ("middle", "leaf")], ("root", "leaf", 5.0), ("leaf", "root", 9.0), ("middle", "root", 9.0))) == ["CYCLE", "CYCLE", "LOW_CONFIDENCE"]
 
@@ -228,11 +232,11 @@ def test_queries_match_sql(spark):
     db, bad = duckdb.connect(), []
     for t in os.listdir(SF):
         db.sql(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
-    slow = {"G2_equivalence_classes", "A18_component_count", "G3_concept_graph", "G11_refine_fallback", "X2_stream_windows"}
     for name, (query, sql) in catalog.QUERIES.items():
-        if sql is None or name in slow:
+        a = query(spark, SF).toPandas()
+        if sql is None:  # held against brute force in other tests
             continue
-        a, b = query(spark, SF).toPandas(), db.sql(sql).df()
+        b = db.sql(sql).df()
         columns = sorted(a.columns)
         tidy = lambda t: sorted(tuple(cell(v) for v in r) for r in t[columns].itertuples(index=False))  # noqa: B023, E731
         if columns != sorted(b.columns) or tidy(a) != tidy(b):
