@@ -312,3 +312,41 @@ def test_registry(spark):
 def test_refine_without_known_relations(spark):
     out = refine.refine(spark.createDataFrame([("a", "likes", "b")], "s string, p string, o string"))
     assert out.triples.count() == 1
+
+
+def test_matched_answers(spark):
+    from weft.operators import answers as A
+
+    rng = random.Random(31)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)]
+    stored = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 30)))) for i in range(40)]
+    asked = []
+    for i, t in stored:
+        w = t.split()[: rng.randint(6, 20)]
+        if i % 3 == 0:
+            at = rng.randrange(len(w))
+            w[at] = w[at][:-1]
+        asked.append((i, " ".join(w)))
+    index = lambda rows, key: A.indexed(spark.createDataFrame(rows, f"{key} int, text string"), key)
+    found = {r.q: (r.a, round(r.score, 9)) for r in A.matched(index(asked, "q"), index(stored, "a")).collect()}
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+    def fixed(q, a):
+        gone = [w for w in q if w not in a]
+        near = [x for x in set(a) if len(gone) == 1 and (x[:-1] == gone[0] or x == gone[0][:-1] or (len(x) == len(gone[0]) and sum(c != d for c, d in zip(x, gone[0], strict=True)) == 1))]
+        return [near[0] if w == gone[0] else w for w in q] if len(gone) == 1 and len(near) == 1 and len(gone[0]) >= 5 else q
+
+    def best(scores):
+        ranked = sorted(scores, key=lambda x: (-x[0], x[1]))
+        return (ranked[0][1], round(ranked[0][0], 9)) if ranked[0][0] >= T.OVERLAP and ranked[0][0] - ranked[1][0] >= T.MARGIN else None
+
+    want = {}
+    for q, text in asked:
+        w = text.split()
+        if len(grams(w)) < T.SHINGLES:
+            continue
+        share = lambda x, t: len(grams(x) & grams(t)) / len(grams(x))
+        hit = best([(share(w, t.split()), a) for a, t in stored]) or best([(share(fixed(w, t.split()), t.split()), a) for a, t in stored])
+        if hit:
+            want[q] = hit
+    assert found == want and len(want) > 30

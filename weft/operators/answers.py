@@ -33,9 +33,11 @@ def matched(questions: DataFrame, answers: DataFrame, least: float = T.OVERLAP,
     asked = cut(questions.where(F.size("shingles") >= shortest), "asked")
     one = asked.select("q", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
     two = answers.select("a", F.explode("shingles").alias("g"))
-    scores = cut(one.join(two, "g").groupBy("q", "a").agg((F.count("*") / F.first("n")).alias("score")), "scores")
+    scores = cut(one.join(two, "g").groupBy("q", "a").agg((F.count("*") / F.first("n")).alias("score"), F.first("n").alias("n")), "scores")
     settled = cut(_decided(scores, least, margin), "settled")
-    open_ = scores.join(settled.select("q"), "q", "left_anti").join(asked, "q").join(answers.select("a", F.col("words").alias("theirs"), F.col("shingles").alias("known")), "a")
+    # one word is in three shingles at most, so a pair that is too far off even with them can be neither first nor near the first
+    could = (F.col("score") * F.col("n") + 3) / (F.col("n") - 3) >= least - margin if shortest > 3 else F.lit(True)
+    open_ = scores.where(could).join(settled.select("q"), "q", "left_anti").join(asked, "q").join(answers.select("a", F.col("words").alias("theirs"), F.col("shingles").alias("known")), "a")
     again = open_.withColumn("fixed", T.corrected(F.col("words"), F.col("theirs")))
     rescored = again.select("q", "a", F.when(F.col("fixed").isNull(), F.col("score")).otherwise(T.overlap(T.shingles(F.col("fixed")), F.col("known"))).alias("score"))
     return settled.unionByName(_decided(rescored, least, margin))
