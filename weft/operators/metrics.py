@@ -44,3 +44,38 @@ def ranking(matches: DataFrame, gold: DataFrame, asked: DataFrame, ks: tuple[int
 def summary(column: str) -> list[Column]:
     """mean, population deviation, least, most and exact median."""
     return [F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most"), F.percentile(column, 0.5).alias("median")]
+
+
+def methods(pairs: DataFrame, names: tuple[str, ...] = ("cosine", "corpus", "hybrid")) -> DataFrame:
+    """One row: for each method mean, population deviation, least and most of its scores, and for each two their correlation; in one pass."""
+    from weft.operators.vectors import correlation
+
+    each = (c.alias(f"{n}_{what}") for n in names for c, what in zip(summary(n)[:4], ("mean", "std", "least", "most"), strict=True))
+    two = (correlation(a, b).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i + 1 :])
+    return pairs.agg(F.count("*").alias("n"), *each, *two)
+
+
+def score_bins(pairs: DataFrame, column: str = "score", high: float = 0.8, low: float = 0.4) -> DataFrame:
+    """summary() of the scores, and how many are high, in between and low; in one pass."""
+    stats = (c.alias(n) for c, n in zip(summary(column), ("mean", "std", "least", "most", "median"), strict=True))
+    x = F.col(column)
+    return pairs.agg(*stats, F.count_if(x >= high).alias("high"), F.count_if((x >= low) & (x < high)).alias("middle"), F.count_if(x < low).alias("low"))
+
+
+def aligned_means(pairs: DataFrame, gold: DataFrame, names: tuple[str, ...] = ("cosine", "corpus", "hybrid")) -> DataFrame:
+    """How many scored pairs are gold (left, right), and the mean of each method over them."""
+    return pairs.join(gold.distinct(), ["left", "right"], "left_semi").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in names))
+
+
+def embedding_stats(vectors: DataFrame) -> DataFrame:
+    """How many vectors, their greatest dimension, mean and deviation of their lengths."""
+    from weft.operators.vectors import norm
+
+    rows = vectors.select(F.size("vector").alias("dim"), norm(F.col("vector")).alias("norm"))
+    return rows.agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.avg("norm").alias("mean_norm"), F.stddev_pop("norm").alias("std_norm"))
+
+
+def vocabulary(nodes: DataFrame, fields: tuple[str, ...] = ("labels", "exact_synonyms")) -> DataFrame:
+    """term and n of the lower-case names, labels and synonyms (arrays) of nodes (name, fields)."""
+    said = F.concat(F.array("name"), *(F.coalesce(F.col(f), F.array().cast("array<string>")) for f in fields))
+    return nodes.select(F.explode(F.transform(said, lambda x: F.lower(F.trim(x)))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))

@@ -216,6 +216,19 @@ def hybrid(cos: Column, corpus: Column, weight: float) -> Column:
     return cos * (1 - weight) + corpus * weight
 
 
+def google_index(distance: Column) -> Column:
+    """The likeness that a corpus distance leaves, in [0, 1]; 0 where there is none."""
+    return F.coalesce(clamped(1 - distance), F.lit(0.0))
+
+
+def all_scores(pairs: DataFrame, weight: float = 0.5) -> DataFrame:
+    """pairs (score: a cosine, corpus: a likeness) with cosine, corpus and hybrid; weight, in [0, 1], is the corpus's."""
+    if not 0 <= weight <= 1:
+        raise ValueError("the weight must be between 0 and 1")
+    rows = pairs.withColumn("cosine", clamped(F.col("score"))).withColumn("corpus", clamped(F.col("corpus").cast("double")))
+    return rows.withColumn("hybrid", hybrid(F.col("cosine"), F.col("corpus"), weight)).drop("score")
+
+
 def positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows with their position, from 1, in an order over all of them, without bringing them to one task: rows are dealt by ranges of the
     order, numbered in each, and the sizes of the ranges before are added (one number for each range).

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft import registry as Y
 from weft.operators import lookup as L
 from weft.operators import metrics as M
 from weft.operators import vectors as X
@@ -55,12 +56,11 @@ def ngd_pairs(spark, d):
 
 
 def three_scores(spark, d):
-    pairs = X.best_pairs(*sides(spark, d), 200)
-    rows = pairs.select("left", "right", X.clamped(F.col("score")).alias("cosine"), ((F.col("left") * 7 + F.col("right") * 13) % 101 / 100).alias("corpus"))
-    return rows.withColumn("hybrid", X.hybrid(F.col("cosine"), F.col("corpus"), 0.5)).withColumn("seq", F.col("left") * 1000000 + F.col("right"))
+    pairs = X.best_pairs(*sides(spark, d), 200).withColumn("corpus", (F.col("left") * 7 + F.col("right") * 13) % 101 / 100)
+    return X.all_scores(pairs).withColumn("seq", F.col("left") * 1000000 + F.col("right"))
 
 
-THREE = f"{AB}, t AS (SELECT l, r, greatest(0, least(1, score)) AS cosine, (l * 7 + r * 13) % 101 / 100 AS corpus FROM (SELECT * FROM s ORDER BY score DESC, l, r LIMIT 200)), h AS (SELECT *, cosine * 0.5 + corpus * 0.5 AS hybrid, l * 1000000 + r AS seq FROM t)"
+THREE = f"{AB}, t AS (SELECT l, r, greatest(0, least(1, score)) AS cosine, least(1, (l * 7 + r * 13) % 101 / 100) AS corpus FROM (SELECT * FROM s ORDER BY score DESC, l, r LIMIT 200)), h AS (SELECT *, cosine * 0.5 + corpus * 0.5 AS hybrid, l * 1000000 + r AS seq FROM t)"
 TOP = "round(score, 6) AS score"
 
 
@@ -137,22 +137,30 @@ QUERIES = {
         lambda s, d: rounded(M.confusion(V.table(s, d, "labels").selectExpr("quality AS label", "CAST(doc_id % 7 <> 0 AS INT) AS predicted")), "accuracy", "specificity", "balanced_accuracy", "mcc", "precision", "recall"),
         "WITH c AS (SELECT CAST(count(*) FILTER (quality = 1 AND doc_id % 7 <> 0) AS DOUBLE) AS tp, CAST(count(*) FILTER (quality = 0 AND doc_id % 7 = 0) AS DOUBLE) AS tn, CAST(count(*) FILTER (quality = 0 AND doc_id % 7 <> 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (quality = 1 AND doc_id % 7 = 0) AS DOUBLE) AS fn FROM labels) SELECT CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tn / (tn + fp), 6) AS specificity, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c",
     ),
-    "A10_method_correlations": (
-        lambda s, d: three_scores(s, d).agg(F.round(X.correlation("cosine", "corpus"), 6).alias("cos_corpus"), F.round(X.correlation("cosine", "hybrid"), 6).alias("cos_hybrid"), F.round(X.correlation("corpus", "hybrid"), 6).alias("corpus_hybrid")),
-        f"WITH {THREE} SELECT round(corr(cosine, corpus), 6) AS cos_corpus, round(corr(cosine, hybrid), 6) AS cos_hybrid, round(corr(corpus, hybrid), 6) AS corpus_hybrid FROM h",
+    "A10_method_statistics": (
+        lambda s, d: (lambda m: rounded(m, *(c for c in m.columns if c != "n")))(M.methods(three_scores(s, d))),
+        f"WITH {THREE} SELECT count(*) AS n, round(avg(cosine), 6) AS cosine_mean, round(stddev_pop(cosine), 6) AS cosine_std, round(min(cosine), 6) AS cosine_least, round(max(cosine), 6) AS cosine_most, round(avg(corpus), 6) AS corpus_mean, round(stddev_pop(corpus), 6) AS corpus_std, round(min(corpus), 6) AS corpus_least, round(max(corpus), 6) AS corpus_most, round(avg(hybrid), 6) AS hybrid_mean, round(stddev_pop(hybrid), 6) AS hybrid_std, round(min(hybrid), 6) AS hybrid_least, round(max(hybrid), 6) AS hybrid_most, round(corr(cosine, corpus), 6) AS cosine_corpus, round(corr(cosine, hybrid), 6) AS cosine_hybrid, round(corr(corpus, hybrid), 6) AS corpus_hybrid FROM h",
     ),
     "A11_cross_graph_summary": (
-        lambda s, d: matches(s, d).agg(*(F.round(c, 6).alias(n) for c, n in zip(M.summary("score"), ("mean", "std", "least", "most", "median"), strict=True)), F.count_if(F.col("score") >= 0.8).alias("high"), F.count_if((F.col("score") >= 0.4) & (F.col("score") < 0.8)).alias("middle"), F.count_if(F.col("score") < 0.4).alias("low")),
+        lambda s, d: rounded(M.score_bins(matches(s, d)), "mean", "std", "least", "most", "median"),
         f"WITH {AB} SELECT round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(min(score), 6) AS least, round(max(score), 6) AS most, round(quantile_cont(score, 0.5), 6) AS median, count(*) FILTER (score >= 0.8) AS high, count(*) FILTER (score >= 0.4 AND score < 0.8) AS middle, count(*) FILTER (score < 0.4) AS low FROM m",
     ),
     "A12_alignment_similarity": (
-        lambda s, d: three_scores(s, d).join(gold(s, d), ["left", "right"], "left_semi").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("cosine", "corpus", "hybrid"))),
+        lambda s, d: rounded(M.aligned_means(three_scores(s, d), gold(s, d)), "cosine", "corpus", "hybrid"),
         f"WITH {THREE} SELECT count(*) AS n, round(avg(cosine), 6) AS cosine, round(avg(corpus), 6) AS corpus, round(avg(hybrid), 6) AS hybrid FROM h JOIN a ON a.id = l JOIN b ON b.id = r WHERE a.label = b.label",
     ),
     "A13_embedding_stats": (
-        lambda s, d: vectors(s, d).select(F.size("vector").alias("dim"), X.norm(F.col("vector")).alias("norm")).agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.round(F.avg("norm"), 6).alias("mean_norm"), F.round(F.stddev_pop("norm"), 6).alias("std_norm")),
+        lambda s, d: rounded(M.embedding_stats(vectors(s, d)), "mean_norm", "std_norm"),
         f"SELECT count(*) AS n, CAST(max(len(v)) AS INTEGER) AS dim, round(avg(sqrt(list_dot_product(v, v))), 6) AS mean_norm, round(stddev_pop(sqrt(list_dot_product(v, v))), 6) AS std_norm FROM {E}",
     ),
+    "A20_label_vocabulary": (
+        lambda s, d: M.vocabulary(V.table(s, d, "part").select(F.col("p_type").alias("name"), F.array("p_name").alias("labels"), F.when(F.col("p_size") > 25, F.array("p_brand", "p_name")).alias("exact_synonyms"))),
+        "SELECT term, count(*) AS n FROM (SELECT lower(p_type) AS term FROM part UNION ALL SELECT lower(p_name) FROM part UNION ALL SELECT unnest([lower(p_brand), lower(p_name)]) FROM part WHERE p_size > 25) GROUP BY term",
+    ),
+    "N6_google_index": (
+        lambda s, d: ngd_pairs(s, d).groupBy("a").agg(F.round(F.avg(X.google_index(F.col("distance"))), 6).alias("mean"), F.count("*").alias("n")),
+        f"WITH {NGD} SELECT a, round(avg(1 - d), 6) AS mean, count(*) AS n FROM g GROUP BY a",
+    ),
     "J14_overlap_counts": (
         lambda s, d: M.overlap(V.table(s, d, "customer").selectExpr("c_nationkey AS l", "c_mktsegment AS r").where("c_acctbal > 9000"), V.table(s, d, "customer").selectExpr("c_nationkey AS l", "c_mktsegment AS r").where("c_acctbal < -500")).select("tp", "fp", "fn"),
         "WITH p AS (SELECT DISTINCT c_nationkey AS l, c_mktsegment AS r FROM customer WHERE c_acctbal > 9000), g AS (SELECT DISTINCT c_nationkey AS l, c_mktsegment AS r FROM customer WHERE c_acctbal < -500) SELECT (SELECT count(*) FROM p SEMI JOIN g USING (l, r)) AS tp, (SELECT count(*) FROM p ANTI JOIN g USING (l, r)) AS fp, (SELECT count(*) FROM g ANTI JOIN p USING (l, r)) AS fn",
@@ -169,7 +177,7 @@ QUERIES = {
     ),
     "A20_vocabulary": (lambda s, d: vocabulary(s, d), f"SELECT term, count(*) AS n FROM {WORDS} GROUP BY term"),
     "N5_clamped_cosine": (
-        lambda s, d: matches(s, d).select("left", "right", F.round(X.clamped(F.col("score")), 6).alias("score")),
+        lambda s, d: X.all_scores(matches(s, d).withColumn("corpus", F.lit(0.0)), 0.0).select("left", "right", F.round("cosine", 6).alias("score")),
         f"WITH {AB} SELECT l AS \"left\", r AS \"right\", round(greatest(0, least(1, score)), 6) AS score FROM m",
     ),
     "N7_hybrid_scores": (lambda s, d: rounded(three_scores(s, d).select("left", "right", "cosine", "corpus", "hybrid"), "cosine", "corpus", "hybrid"), f"WITH {THREE} SELECT l AS \"left\", r AS \"right\", round(cosine, 6) AS cosine, round(corpus, 6) AS corpus, round(hybrid, 6) AS hybrid FROM h"),
@@ -178,8 +186,8 @@ QUERIES = {
         f"SELECT id, round(list_sum(list_transform(range(1, 65), lambda i: (v[i] * 0.25 + v[65 - i] * 0.75) ** 2)), 6) AS square FROM {E}",
     ),
     "N10_static_counts": (
-        lambda s, d: V.table(s, d, "nation").join(V.table(s, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), (F.col("r_regionkey") * 10 + 5).alias("n")), "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(1000)).alias("n")),
-        "SELECT n_name, coalesce(r_regionkey * 10 + 5, 1000) AS n FROM nation LEFT JOIN region ON r_regionkey = n_nationkey",
+        lambda s, d: Y.COUNTS.create("static", V.table(s, d, "region").select(F.col("r_name").alias("term"), (F.col("r_regionkey") * 10 + 5).alias("n")), V.table(s, d, "nation").select(F.col("n_name").alias("term")).union(V.table(s, d, "region").select("r_name"))),
+        "SELECT r_name AS term, r_regionkey * 10 + 5 AS n FROM region UNION ALL SELECT n_name, 1000 FROM nation",
     ),
     "N11_generated_counts": (
         lambda s, d: X.positions(vocabulary(s, d), [F.desc("n"), F.col("term")], "rank").select("term", F.greatest(F.lit(1), F.floor(10000 * F.pow(F.lit(0.9), F.col("rank") - 1)).cast("int")).alias("n")),
