@@ -51,15 +51,15 @@ def readings(s, d):
 
 def context(s, d):
     docs = documents(s, d).select(F.col("doc_id"), F.col("doc_id").cast("string").alias("id"), "lang", "n_chars")
-    matches = docs.where("doc_id % 50 = 0").select("id", F.col("lang").alias("text"), F.col("n_chars").cast("double").alias("score"))
-    near = docs.where("doc_id % 50 IN (0, 1, 2)").select((F.col("doc_id") - F.col("doc_id") % 50).cast("string").alias("match"), "id", F.col("lang").alias("text"))
+    matches = docs.where("doc_id % 20 = 0").select("id", F.col("lang").alias("text"), F.col("n_chars").cast("double").alias("score"))
+    near = docs.where("doc_id % 20 IN (0, 1, 2)").select((F.col("doc_id") - F.col("doc_id") % 20).cast("string").alias("match"), "id", F.col("lang").alias("text"))
     web = pages(s, d).select(F.concat(F.lit("web-"), "page_id").alias("id"), F.col("url").alias("text"))
     return L.context_candidates(matches, near, web)
 
 
-CONTEXT = """WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, lang, CAST(n_chars AS DOUBLE) AS score FROM documents), m AS (SELECT * FROM d WHERE doc_id % 50 = 0),
+CONTEXT = """WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, lang, CAST(n_chars AS DOUBLE) AS score FROM documents), m AS (SELECT * FROM d WHERE doc_id % 20 = 0),
 c AS (SELECT id, lang AS text, 'concept' AS source, score, 0 AS a, -score AS b, id AS c, 0 AS e FROM m UNION ALL
-SELECT d.id, d.lang, 'neighborhood', NULL, 0, -m.score, m.id, 1 FROM d JOIN m ON d.doc_id - d.doc_id % 50 = m.doc_id WHERE d.doc_id % 50 IN (0, 1, 2) UNION ALL
+SELECT d.id, d.lang, 'neighborhood', NULL, 0, -m.score, m.id, 1 FROM d JOIN m ON d.doc_id - d.doc_id % 20 = m.doc_id WHERE d.doc_id % 20 IN (0, 1, 2) UNION ALL
 SELECT 'web-' || page_id, url, 'web', NULL, 1, 0.0, 'web-' || page_id, 0 FROM pages),
 o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY a, b, c, e) AS r FROM c WHERE text <> '')
 SELECT id, text, source, score FROM o WHERE r = 1 ORDER BY a, b, c, e, id LIMIT 256"""
@@ -168,8 +168,8 @@ QUERIES = {
         "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Page ' || page_id ELSE coalesce(nullif(regexp_replace(regexp_replace(url, '^.*#', ''), '^.*/', ''), ''), CAST(page_id AS VARCHAR)) END AS name, CASE WHEN contains(url, '#') THEN regexp_extract(url, '^(.*#)', 1) ELSE regexp_extract(url, '^(.*/)', 1) END AS namespace FROM pages",
     ),
     "P30_drop_echo": (
-        lambda s, d: conversations(s, d).where("NOT (text RLIKE '[.!?][.!?]|[0-9][.!?]')").select("conv_id", "turn", T.presentable(F.concat(F.lit("The heart. Relevant concepts: x! From cluster two. Cluster 4 says so? "), F.col("text"))).alias("kept")),
-        "WITH t AS (SELECT conv_id, turn, 'The heart. Relevant concepts: x! From cluster two. Cluster 4 says so? ' || text AS x FROM conversations WHERE NOT regexp_matches(text, '[.!?][.!?]|[0-9][.!?]')) SELECT conv_id, turn, CASE WHEN contains(lower(x), 'tool_name') OR contains(lower(x), 'i will use the tools') THEN '' ELSE array_to_string(list_filter(list_transform(string_split(x, chr(10) || chr(10)), lambda p: array_to_string(list_filter(list_transform(regexp_split_to_array(p, '\\r\\n|\\n|\\r'), lambda l: array_to_string(list_filter(string_split(regexp_replace(trim(l, ' ' || chr(9)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda q: q <> '' AND NOT regexp_matches(lower(q), 'relevant concept clusters|key relations|concept clusters|from cluster|\\(cluster|most relevant concepts|relevant concepts') AND NOT (contains(lower(q), 'cluster') AND regexp_matches(q, '\\d'))), ' ')), lambda l: l <> ''), chr(10))), lambda p: p <> ''), chr(10) || chr(10)) END AS kept FROM t",
+        lambda s, d: conversations(s, d).select("conv_id", "turn", T.presentable(F.concat(F.lit("The heart. Relevant concepts: x! From cluster two. Cluster 4 says so? "), F.col("text"))).alias("kept")),
+        "WITH t AS (SELECT conv_id, turn, 'The heart. Relevant concepts: x! From cluster two. Cluster 4 says so? ' || text AS x FROM conversations) SELECT conv_id, turn, CASE WHEN contains(lower(x), 'tool_name') OR contains(lower(x), 'i will use the tools') THEN '' ELSE array_to_string(list_filter(list_transform(string_split(x, chr(10) || chr(10)), lambda p: array_to_string(list_filter(list_transform(regexp_split_to_array(p, '\\r\\n|\\n|\\r'), lambda l: array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(l, ' ' || chr(9)), '(\\d[.!?])(\\s)', '\\1' || chr(2) || '\\2', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda q: replace(q, chr(2), '')), lambda q: q <> '' AND NOT regexp_matches(lower(q), 'relevant concept clusters|key relations|concept clusters|from cluster|\\(cluster|most relevant concepts|relevant concepts') AND NOT (contains(lower(q), 'cluster') AND regexp_matches(q, '\\d'))), ' ')), lambda l: l <> ''), chr(10))), lambda p: p <> ''), chr(10) || chr(10)) END AS kept FROM t",
     ),
     "P31_member_names": (
         lambda s, d: part(s, d).groupBy("p_type").agg(F.array_sort(F.collect_set(F.struct(F.concat(F.lit("urn:x/"), "p_name").alias("name"), F.when(F.col("p_size") == 1, F.array("p_brand")).alias("labels"), F.when(F.col("p_size") == 2, F.array("p_type")).alias("alt_labels")))).alias("m")).select("p_type", N.member_names(F.col("m")).alias("names"), N.member_names(F.col("m"), labels=True).alias("labels")),

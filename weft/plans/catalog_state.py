@@ -169,12 +169,12 @@ QUERIES = {
         f"SELECT prefix, n AS count FROM {NODES} WHERE n >= 3 AND ends > 0 ORDER BY n DESC, used DESC LIMIT 1024",
     ),
     "Z21_path_answers": (
-        lambda s, d: M.path_answers(paths(s, d).where("id % 2 = 0"), M.trie_nodes(paths(s, d).where("id % 2 = 1"))),
-        f"SELECT q.id, 'a' || max(p.seq) AS answer FROM {PATHS} q LEFT JOIN {PATHS} p ON p.id % 2 = 1 AND p.path = q.path WHERE q.id % 2 = 0 GROUP BY q.id",
+        lambda s, d: M.path_answers(paths(s, d), trie(s, d)),
+        f"SELECT q.id, 'a' || max(p.seq) AS answer FROM {PATHS} q JOIN {PATHS} p ON p.path = q.path GROUP BY q.id",
     ),
     "X11_longest_prefix": (
-        lambda s, d: B.longest_prefix(paths(s, d).where("id % 2 = 0"), paths(s, d).where("id % 2 = 1")),
-        f"SELECT q.id, arg_max(array_to_string(q.path[1:k], '/'), k) AS prefix FROM (SELECT id, path, unnest(range(1, len(path) + 1)) AS k FROM {PATHS} WHERE id % 2 = 0) q WHERE array_to_string(q.path[1:k], '/') IN (SELECT array_to_string(path, '/') FROM {PATHS} WHERE id % 2 = 1) GROUP BY q.id",
+        lambda s, d: B.longest_prefix(paths(s, d), M.promoted(trie(s, d)).select("path")),
+        f"WITH k AS (SELECT prefix FROM {NODES} WHERE n >= 3 AND ends > 0 ORDER BY n DESC, used DESC LIMIT 1024) SELECT q.id, arg_max(array_to_string(q.path[1:k], '/'), k) AS prefix FROM (SELECT id, path, unnest(range(1, len(path) + 1)) AS k FROM {PATHS}) q WHERE array_to_string(q.path[1:k], '/') IN (SELECT prefix FROM k) GROUP BY q.id",
     ),
     "Z20_replayed_prefix": (
         lambda s, d: M.replayed_prefixes(paths(s, d), paths(s, d)),
@@ -185,12 +185,12 @@ QUERIES = {
         f"SELECT array_to_string(list_sort(list_distinct(path)), ',') AS key, count(*) AS n FROM {PATHS} GROUP BY 1",
     ),
     "Z19_rebuilt_index": (
-        lambda s, d: named(M.rebuilt_index(trie(s, d), paths(s, d).where("id % 3 = 0").groupBy("path").agg(F.max("id").cast("string").alias("answer")))),
-        f"WITH t AS (SELECT array_to_string(path, '/') AS prefix, 'a' || max(seq) AS answer FROM {PATHS} GROUP BY 1), l AS (SELECT array_to_string(path, '/') AS prefix, CAST(max(id) AS VARCHAR) AS answer FROM {PATHS} WHERE id % 3 = 0 GROUP BY 1) SELECT prefix, coalesce(l.answer, t.answer) AS answer FROM t LEFT JOIN l USING (prefix)",
+        lambda s, d: named(M.rebuilt_index(trie(s, d), M.promoted(trie(s, d)).select("path", F.concat(F.lit("p"), "count").alias("answer")))),
+        f"SELECT t.prefix, coalesce(l.answer, t.answer) AS answer FROM (SELECT array_to_string(path, '/') AS prefix, 'a' || max(seq) AS answer FROM {PATHS} GROUP BY 1) t LEFT JOIN (SELECT prefix, 'p' || n AS answer FROM {NODES} WHERE n >= 3 AND ends > 0 ORDER BY n DESC, used DESC LIMIT 1024) l USING (prefix)",
     ),
     "X13_consult_tiers": (
-        lambda s, d: M.answers_in_tiers(events(s, d).select(F.col("user_id").alias("key")).distinct(), [("hot", requests(s, d).where("tier = 'click' AND seq % 50 = 0").select("key", "answer")), ("path", paths(s, d).where("id % 4 = 0").select(F.floor(F.col("id") / 100).alias("key"), F.lit("p").alias("answer"))), ("store", requests(s, d).where("seq % 3 = 0").select("key", F.lit("s").alias("answer")))]),
-        f"SELECT key, CASE source WHEN 'hot' THEN 'answer' WHEN 'path' THEN 'p' WHEN 'store' THEN 's' END AS answer, source FROM (SELECT DISTINCT user_id AS key, CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'click' AND event_id % 50 = 0) THEN 'hot' WHEN user_id IN (SELECT id // 100 FROM {PATHS} WHERE id % 4 = 0) THEN 'path' WHEN user_id IN (SELECT user_id FROM events WHERE event_id % 3 = 0) THEN 'store' END AS source FROM events)",
+        lambda s, d: M.answers_in_tiers(events(s, d).select(F.col("user_id").cast("string").alias("key")).distinct(), [("hot", M.remaining(requests(s, d)).where("tier = 'click'").select("key", "answer")), ("path", paths(s, d).where(F.size("path") >= 5).select(F.floor(F.col("id") / 100).cast("string").alias("key"), F.lit("p").alias("answer"))), ("store", events(s, d).where("event_type = 'error'").select(F.col("user_id").cast("string").alias("key"), F.lit("s").alias("answer")))]),
+        f"SELECT key, CASE source WHEN 'hot' THEN 'answer' WHEN 'path' THEN 'p' WHEN 'store' THEN 's' END AS answer, source FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY max(event_id) DESC LIMIT 32) THEN 'hot' WHEN user_id IN (SELECT id // 100 FROM {PATHS} WHERE len(path) >= 5) THEN 'path' WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'error') THEN 'store' END AS source FROM events)",
     ),
     "X14_longest_answers": (
         lambda s, d: M.longest_answers(documents(s, d).select(F.col("doc_id").alias("seq"), F.concat(F.lit("What are the "), "source", F.lit(" in "), "lang", F.lit("?")).alias("question"), F.col("text").alias("answer"))).select("key", F.md5(F.col("answer").cast("binary")).alias("answer")),
@@ -251,8 +251,8 @@ QUERIES = {
         f"SELECT id, md5(text) AS content, CASE role WHEN 'user' THEN 'user' WHEN 'system' THEN 'reasoning' ELSE 'assistant' END AS kind FROM {TH} UNION ALL SELECT parent_id, id, 'reasoning' FROM {TH} WHERE NOT root",
     ),
     "S12_merge_runs": (
-        lambda s, d: H.merged_runs(events(s, d).where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.lit(0).alias("run_order")).union(events(s, d).where("event_id % 3 = 0").select("event_id", F.lit(1))), events(s, d).select(F.col("event_id").alias("id"), F.col("event_id").alias("src"), (F.col("event_id") + 4).alias("dst"), F.lit(0).alias("run_order")))[1].select("src", "dst"),
-        "WITH n AS (SELECT event_id FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0) SELECT event_id AS src, event_id + 4 AS dst FROM n WHERE event_id + 4 IN (SELECT event_id FROM n)",
+        lambda s, d: H.merged_runs(events(s, d).where("event_type IN ('click', 'view')").select(F.col("event_id").alias("id"), F.lit(0).alias("run_order")).union(events(s, d).where("event_type IN ('view', 'error')").select("event_id", F.lit(1))), events(s, d).select(F.col("event_id").alias("id"), F.col("event_id").alias("src"), (F.col("event_id") + 4).alias("dst"), F.lit(0).alias("run_order")))[1].select("src", "dst"),
+        "WITH n AS (SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'error')) SELECT event_id AS src, event_id + 4 AS dst FROM n WHERE event_id + 4 IN (SELECT event_id FROM n)",
     ),
     "U6_merge_first": (
         lambda s, d: H.merged_runs(conversations(s, d).select(F.md5(F.concat_ws("|", "role", "text").cast("binary")).alias("id"), F.col("conv_id").alias("run_order"), "turn").groupBy("id", "run_order").agg(F.min("turn").alias("turn")), s.createDataFrame([], "id string, src string, dst string, run_order long"))[0],
@@ -295,8 +295,8 @@ QUERIES = {
         f"WITH t AS (SELECT s, p, o FROM {GEO} UNION ALL SELECT 'n' || n_nationkey, 'rdfs:label', n_name FROM nation), e AS (SELECT s AS id, p, o AS x, true AS out FROM t UNION ALL SELECT o, p, s, false FROM t) SELECT id, coalesce(string_agg(DISTINCT CASE WHEN out AND p = 'rdfs:label' THEN x END, ',' ORDER BY CASE WHEN out AND p = 'rdfs:label' THEN x END), '') AS labels, coalesce(string_agg(DISTINCT CASE WHEN out AND p <> 'rdfs:label' THEN x END, ',' ORDER BY CASE WHEN out AND p <> 'rdfs:label' THEN x END), '') AS parents, coalesce(string_agg(DISTINCT CASE WHEN NOT out AND p <> 'rdfs:label' THEN x END, ',' ORDER BY CASE WHEN NOT out AND p <> 'rdfs:label' THEN x END), '') AS children, count(*) FILTER (out) AS n_out, count(*) FILTER (NOT out) AS n_in FROM e GROUP BY id",
     ),
     "G8_limited_closure": (
-        lambda s, d: R.limited_closure(geo_edges(s, d).where("NOT (src LIKE 'c%' AND tgt LIKE 'r%')"), 100)[0],
-        f"WITH RECURSIVE edge AS (SELECT * FROM ({GEO_EDGES}) WHERE NOT (src LIKE 'c%' AND tgt LIKE 'r%')), tc(src, tgt) AS (SELECT src, tgt FROM edge UNION SELECT tc.src, edge.tgt FROM tc JOIN edge ON tc.tgt = edge.src) SELECT * FROM (SELECT src, tgt FROM tc EXCEPT SELECT src, tgt FROM edge) ORDER BY src, tgt LIMIT 100",
+        lambda s, d: R.limited_closure(geo_edges(s, d), 50)[0],
+        f"WITH RECURSIVE {CLOSED} SELECT * FROM (SELECT src, tgt FROM tc EXCEPT SELECT src, tgt FROM edge) ORDER BY src, tgt LIMIT 50",
     ),
     "G13_rank_partitions": (
         lambda s, d: G.rank_partitions(G.ranks(geo_edges(s, d)), V.table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("key"))),
@@ -323,7 +323,7 @@ QUERIES = {
         f"SELECT count(*) AS n, min(size) AS least, max(size) AS most, round(avg(size), 6) AS mean, round(avg(CASE WHEN size = 1 THEN 1.0 ELSE 0 END), 6) AS singletons FROM (SELECT eid, count(*) AS size FROM {INCIDENCE} GROUP BY eid)",
     ),
     "G28_random_walks": (lambda s, d: E.walks(geo_edges(s, d), 4, 2, p=0.5, q=2.0), None),
-    "G28_node_vectors": (lambda s, d: E.node_vectors(geo_edges(s, d).where("src NOT LIKE 'c%'"), 8, 6, 4), None),
+    "G28_node_vectors": (lambda s, d: E.node_vectors(geo_edges(s, d), 8, 6, 4), None),
     "Z49_weighted_graph": (
         lambda s, d: E.weighted_graph(events(s, d).select(F.col("user_id").alias("src"), F.col("event_type").alias("tgt"), F.col("value").alias("score"), F.col("event_id").alias("seq"))),
         "SELECT user_id AS src, event_type AS tgt, arg_max(value, event_id) AS weight FROM events GROUP BY 1, 2",
