@@ -196,6 +196,14 @@ def test_contamination_recall(spark):
     assert len(got) >= 0.99 * len(want)
 
 
+def test_contamination_without_candidates(spark):
+    """Intact runs, but no window near the item: nothing is found."""
+    item = " ".join(f"i{k}" for k in range(40))
+    rows = [(1, "i0 i1 i2 i3 " + " ".join(f"x{k}" for k in range(60))), (2, "i36 i37 i38 i39")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert contamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).count() == 0
+
+
 def test_contamination_index_is_small():
     """The index of a block takes some five times its text."""
     rng = random.Random(13)

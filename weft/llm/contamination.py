@@ -161,6 +161,8 @@ class Items:
                 at //= keys.shape[1]
                 pairs.append(np.stack([row[at], item, start[at]], 1))
             candidates = np.unique(np.concatenate(pairs), axis=0)
+            if not len(candidates):  # no window met its item in any table
+                continue
             group = np.flatnonzero((np.diff(candidates[:, 0], prepend=-1) != 0) | (np.diff(candidates[:, 1], prepend=-1) != 0))
             for a, b in zip(group.tolist(), [*group[1:].tolist(), len(candidates)], strict=True):
                 r, i = candidates[a, :2].tolist()
