@@ -10,7 +10,7 @@ merging the few bytes of the two tokens, and memoised.
 
 Texts are cut into pieces by the vocabulary's pattern. Where every space of a text stands before a
 visible character, a piece never crosses into the next space-led chunk, so chunks are looked up in
-a bounded memo; other texts are cut by the pattern as a whole. Both give the same ids.
+a memo bounded in bytes; other texts are cut by the pattern as a whole. Both give the same ids.
 
 Defined results: a null or empty text has no ids; text is encoded whole at any length; special
 tokens are ordinary text; a repeated doc_id is one document, its smallest text; extra columns are ignored.
@@ -30,17 +30,41 @@ from pyspark.sql import DataFrame
 
 from weft.llm.core import buffer, keyed, remembered, slices, tidied
 
-#: Bytes that each memo (words, chunks, pairs) of a worker may take, as sized below; then it starts afresh.
-MEMO_BYTES = 24 << 20
+#: Bytes that each memo (words, chunks, pairs) of a worker may take, as sized below. Words and chunks have two halves: a full
+#: one becomes the old one, from which what is asked for again is taken over, and the old one before goes.
+MEMO_BYTES = 96 << 20
 #: Words and chunks of more characters are not remembered.
 LONG = 100
 #: Text bytes whose ids are held at a time; a longer text is alone.
 BATCH_BYTES = 1 << 20
 #: About what CPython takes for an entry: of a dictionary, for its key, and for the tuple of ids that it holds.
-ENTRY, PAIR = 260, 190
+ENTRY, PAIR = 160, 190
 NONE = 1 << 60
 
 
+class Memo:
+    """Ids of short texts, those used of late, in at most MEMO_BYTES."""
+
+    def __init__(self):
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.room = MEMO_BYTES // 2
+
+    def find(self, text: str) -> tuple[int, ...] | None:
+        known = self.young.get(text)
+        if known is None and (known := self.old.pop(text, None)) is not None:
+            self.keep(text, known)
+        return known
+
+    def keep(self, text: str, ids: tuple[int, ...]) -> None:
+        if len(text) > LONG:
+            return
+        self.room -= ENTRY + 2 * len(text) + 8 * len(ids)
+        if self.room < 0:
+            self.old, self.young, self.room = self.young, {}, MEMO_BYTES // 2
+        self.young[text] = ids
+
+
 class Codec:
     """Encoder and decoder for ranks of byte strings; ranks: {bytes: id}."""
 
@@ -62,24 +86,7 @@ class Codec:
         self.find.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.prefix: dict[int, int | None] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.room = dict.fromkeys(("words", "chunks"), MEMO_BYTES)
-
-    def forget(self) -> None:
-        """Empty the memos, as at the end of a task."""
-        for memo in (self.pairs, self.words, self.chunks):
-            memo.clear()
-        self.room = dict.fromkeys(self.room, MEMO_BYTES)
-
-    def remember(self, name: str, text: str, ids: tuple[int, ...]) -> None:
-        memo = self.words if name == "words" else self.chunks
-        size = ENTRY + 4 * len(text) + 8 * len(ids)
-        if self.room[name] < size:
-            memo.clear()
-            self.room[name] = MEMO_BYTES
-        self.room[name] -= size
-        memo[text] = ids
+        self.words, self.chunks = Memo(), Memo()
 
     def merged(self, raw: bytes) -> list[int]:
         """Ids by plain merging, lowest rank first; for the few bytes of one or two tokens."""
@@ -159,20 +166,18 @@ class Codec:
 
     def word(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
-        known = self.words.get(text)
+        known = self.words.find(text)
         if known is None:
             known = tuple(self.piece(text.encode("utf-8", "surrogatepass")))
-            if len(text) <= LONG:
-                self.remember("words", text, known)
+            self.words.keep(text, known)
         return known
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a stretch of text that no match crosses."""
-        known = self.chunks.get(text)
+        known = self.chunks.find(text)
         if known is None:
             known = tuple(chain.from_iterable(map(self.word, self.cut(text))))
-            if len(text) <= LONG:
-                self.remember("chunks", text, known)
+            self.chunks.keep(text, known)
         return known
 
     def encode(self, text: str) -> list[int]:
@@ -182,7 +187,7 @@ class Codec:
             return list(chain.from_iterable(map(self.word, self.cut(text))))
         parts = text.split(" ")
         ids = list(self.chunk(parts[0]))
-        extend, chunks, chunk = ids.extend, self.chunks.get, self.chunk
+        extend, chunks, chunk = ids.extend, self.chunks.young.get, self.chunk
         for part in parts[1:]:
             part = " " + part
             extend(chunks(part) or chunk(part))
@@ -241,7 +246,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     counts[i + 1] = len(flat)
                 ids = pa.ListArray.from_arrays(pa.array(counts), pa.array(np.frombuffer(flat, np.int32)))
                 yield pa.record_batch([part.column(0), ids], ["doc_id", "ids"])
-        codec.forget()
 
     return keyed(docs, "text").mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
@@ -272,7 +276,6 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 hashed.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.forget()
 
     return keyed(docs, "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
