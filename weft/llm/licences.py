@@ -175,7 +175,7 @@ WITH t(licence, grams) AS (VALUES {values}), seg AS (
 ), w AS (
   SELECT doc_id, line, list_filter(regexp_split_to_array(lower(s), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM seg
 ), g AS (
-  SELECT doc_id, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) BETWEEN 2 AND 2000
+  SELECT doc_id, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) >= 2
 ), d AS (
   SELECT doc_id, line, licence, 2 * len(list_intersect(g.grams, t.grams)) / CAST(len(g.grams) + len(t.grams) AS DOUBLE) AS dice FROM g, t
 )
