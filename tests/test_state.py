@@ -170,6 +170,26 @@ def test_best_matches_upper(spark, monkeypatch):
     assert all(best[i, 1] == i + 1 + int(score[i, i + 1 :].argmax()) for i in range(69))
 
 
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch, capsys):
+    """What is shuffled and written beside the result grows with the vectors, not with the pairs of their blocks; stripes end within blocks."""
+    monkeypatch.setattr(X, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(X, "STRIPE_ROWS", 5)
+    rng = np.random.default_rng(9)
+    v, w = rng.normal(size=(150, 5)).astype(np.float32), rng.normal(size=(41, 5)).astype(np.float32)
+    a, b = (spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, vector array<double>") for m in (v, w))
+    unit = lambda m: m / (np.sqrt((m.astype(float) ** 2).sum(1, keepdims=True)) + X.EPSILON)
+    pairs = X.pair_scores(a, b, digits=3)
+    found = {(r.left, r.right): r.score for r in pairs.collect()}
+    score = unit(v) @ unit(w).T
+    assert len(found) == 150 * 41 and all(abs(found[i, j] - round(score[i, j], 3)) < 1e-12 for i in range(150) for j in range(41))
+    capsys.readouterr()
+    pairs.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" in plan and "Generate" not in plan and "SortMergeJoin" not in plan
+    best = {(r.left, r.rank): r.right for r in X.best_matches(a, b, 3).collect()}
+    assert all([best[i, k] for k in (1, 2, 3)] == list(np.argsort(-score[i])[:3]) for i in range(150))
+
+
 def test_online_merge_and_split():
     g = online.ClassGraph([("p", "a", "r", 2.0), ("a", "c", "r", 2.0), ("b", "c", "r", 1.0)], {"a": ["a", "a2"]})
     assert g.ranks() == {"a": 1, "p": 2, "c": 0, "b": 0} and g.resolve("zz", ["a2"]) == "a" and not g.twins("a", "b")
