@@ -360,6 +360,21 @@ def test_walks_do_not_list_neighbours(spark, monkeypatch):
     assert max(sizes) <= 2 * 3002 and max(df.count() for df in made) <= 8 * 2 * 3002
 
 
+def test_node_vectors_of_a_hub(spark, monkeypatch):
+    """Every node has a vector, and no join lists a hub's neighbours for each walk."""
+    edges = spark.range(400).selectExpr("concat('n', id) AS src", "'hub' AS tgt")
+    made, seen = [], type(edges).join
+
+    def joined(self, *more, **named):
+        made.append(seen(self, *more, **named))
+        return made[-1]
+
+    monkeypatch.setattr(type(edges), "join", joined)
+    found = {r.id: r.vector for r in E.node_vectors(edges, 4, 3, 2).collect()}
+    assert set(found) == {"hub", *(f"n{i}" for i in range(400))} and all(len(v) == 4 for v in found.values())
+    assert made and max(df.count() for df in made) <= 8 * 2 * 401
+
+
 def test_registry(spark):
     r = registry.Registry("thing")
     r.register("A", lambda x: x + 1, about="one")
