@@ -242,6 +242,27 @@ def test_bpe_matches_merges(docs, empty):
         assert codec.encode(text) == known.encode_ordinary(text), text
 
 
+def test_bpe_leaves_no_memos(spark, docs, tmp_path):
+    """Workers that encoded documents hold nothing of it afterwards: other operators need the memory."""
+    import shutil
+
+    given, pattern = bpe.vocabulary()
+    path = shutil.copy(given, tmp_path / "ranks.tiktoken").as_posix()
+    assert bpe.encode_documents(docs, path, pattern).count() == len(texts()[0])
+    assert bpe.encode_documents(docs, path, pattern).where("size(ids) > 1").count() > 30
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            kept = vars(sys.modules.get("weft_worker_memory", sys))
+            yield pa.record_batch([pa.array([sum(isinstance(k, tuple) and path in k for k in kept)])], ["n"])
+
+    assert spark.range(0, 64, 1, 32).mapInArrow(held, "n long").agg(F.sum("n")).first()[0] == 0
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(3)
     bits = [*chat.CONTROL, "\\", "\n", "a", "<", "[", "|", "turn", "%0A", "%"]

@@ -233,10 +233,14 @@ def vocabulary() -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array of int), one row per document. path: a vocabulary that each executor has."""
+    """doc_id and ids (array of int), one row per document. path: a vocabulary that each executor has.
+
+    A task's codec goes with the task. Beside other operators an executor has more Python workers than cores, any of which may get
+    the next task; if each kept its memos, they would stay under whatever runs later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = remembered(("bpe", path, pattern), lambda: Codec(load_ranks(path), pattern))
+        codec = Codec(load_ranks(path), pattern)
         for batch in batches:
             for a, b in slices(buffer(batch.column(1))[1], BATCH_BYTES):
                 part = batch.slice(a, b - a)
